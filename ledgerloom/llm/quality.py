@@ -139,10 +139,14 @@ def judge(featured: DataFrame, refs: DataFrame, f: str = "features", at: str = "
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that are kept, their columns unchanged. The text is read twice: for the references and for the verdicts."""
+    """The documents that are kept, their columns unchanged.
+
+    Documents and features are written once: they serve the references and the verdicts, and a filter on a verdict is not
+    moved below the features, where each of its mentions of one would compute it anew.
+    """
     f, at = free_name(docs.columns, "features"), free_name(docs.columns, "quality")
-    refs = references(features(docs.select(text, lang), text, lang, f, windows=False), f)
-    return judge(features(docs, text, lang, f), refs, f, at).filter(F.col(f"{at}.kept")).select(*docs.columns)
+    featured = Cut(features(docs, text, lang, f), "featured").df
+    return judge(featured, references(featured, f), f, at).filter(F.col(f"{at}.kept")).select(*docs.columns)
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,3 +216,15 @@ def strip_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+     d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM g) WHERE c > 1),
+     gone AS (SELECT DISTINCT doc_id, i + j AS k FROM d, (SELECT unnest(range(35)) AS j)),
+     each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
