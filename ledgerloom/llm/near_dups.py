@@ -8,7 +8,8 @@ only K log K of them are made whatever the text's length.
 
 Equal bands of slots put texts in buckets. Pairs out of buckets are verified exactly on their shingle multisets, first
 each text against the least member of its buckets, then, in every bucket whose members still lie in different
-classes, each text outside the bucket's main class against all members of other classes. Two texts of one
+classes, the texts outside the bucket's main class against members of other classes, first few and in the end all, but for pairs that
+the shingles which a text holds alone prove to be too far apart. Two texts of one
 bucket that remain in different classes have thus been compared, so no link within a bucket is lost, while a bucket of
 mutual copies costs one comparison a member.
 
@@ -33,8 +34,8 @@ from ledgerloom.llm._words import U, Words, mix, slices
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
-#: Texts of a bucket that one round compares with all its members.
-PIVOTS = 8
+#: Least members of a bucket that the first round compares with the texts outside its main class, and how many times more each further round takes.
+MEMBERS, MORE = 16, 64
 _KEY_BITS = 44
 
 
@@ -150,10 +151,19 @@ def _similar(least: float):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles and their counts."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 19):
+            keys, count = shingle_keys(Words(part.column("text")))
+            node = np.asarray(part.column("node"))[(keys >> U(_KEY_BITS)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array((keys & U((1 << _KEY_BITS) - 1)).astype(np.int64)), pa.array(node), pa.array(count.astype(np.int64))], ["shingle", "node", "n"])
+
+
 def components(links: DataFrame) -> Cut:
     """node, comp: the least node that can be reached over links a, b. Each round a node takes the least label among its neighbours and its label's own label."""
-    ends = Cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
-    labels = Cut(ends.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    ends = Cut(links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "ends")
+    labels = Cut(ends.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
     while True:
         hop = ends.df.join(labels.df, ends.df.b == labels.df.node).groupBy("a").agg(F.min("comp").alias("near"))
         up = labels.df.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
@@ -170,6 +180,16 @@ def components(links: DataFrame) -> Cut:
             return labels
 
 
+def merged(labels: Cut, links: DataFrame) -> Cut:
+    """labels after further links, found on the links between classes only."""
+    of = lambda x: labels.df.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    joined = components(between.filter("a <> b").distinct()).df.withColumnsRenamed({"node": "was", "comp": "now"})
+    old = labels.df.join(joined, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    new = joined.join(labels.df, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("comp"))
+    return Cut(old.unionByName(new), "labels")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, rid, node, comp, links) of all documents and pairs (a, b) of linked nodes.
 
@@ -183,8 +203,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = rows.groupBy("key").agg(F.min("rid").alias("node"))
     nodes = rows.filter("bands is not null").join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "key", "bands")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last")
-    members = Cut(placed.join(shared.select("bucket", "centre"), "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = Cut(placed.join(shared, "bucket"), "members")
     if not members.rows:
         empty = spark.createDataFrame([], "a long, b long")
         return rows.join(classes, "key").select("doc_id", "key", "rid", "node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("links")), empty
@@ -204,36 +224,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     found = [verify(members.df.filter("node > centre").groupBy("node").agg(F.min("centre").alias("centre")).select(*ordered("centre", "node")))]
-    comps = components(now(found).filter("linked"))
-
-    def labelled() -> DataFrame:
-        """Members of the buckets that still hold more than one class, with their classes and that of the bucket's centre."""
-        own = members.df.join(comps.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = own.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-        base_comp = own.filter("node = centre").select("bucket", F.col("comp").alias("main"))
-        return own.join(mixed.join(base_comp, "bucket"), "bucket")
-
-    star = labelled().filter("comp <> main").select(*ordered("centre", "node")).distinct().join(found[0].df.select("a", "b"), ["a", "b"], "left_anti")
-    found.append(verify(star))
-    comps = components(now(found).filter("linked"))
-    used: list[Cut] = []
+    comps = components(found[0].df.filter("linked"))
+    done, most, bounds = 1, MEMBERS, None
     while True:
-        open_rows = Cut(labelled(), "open")
-        outside = open_rows.df.filter("comp <> main")
-        for x in used:
-            outside = outside.join(x.df, ["bucket", "node"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy("node")
-        pivots = Cut(outside.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PIVOTS).select("bucket", "node"), "pivots")
-        if not pivots.rows:
+        # Members of the buckets that still hold more than one class and weren't compared whole, with their classes and that of the bucket's centre.
+        own = members.df.filter(F.col("n") > done).join(comps.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        state = own.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "node").alias("main")).filter("x < y").select("bucket", "main")
+        open_rows = Cut(own.select("bucket", "node", "comp").join(state, "bucket"), "open")
+        if not open_rows.rows:
             break
-        chosen = open_rows.df.join(pivots.df, ["bucket", "node"], "left_semi").select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        pairs = chosen.join(open_rows.df, "bucket").filter("pivot_comp <> comp").select(*ordered("pivot", "node")).distinct()
-        for x in found:
-            pairs = pairs.join(x.df.select("a", "b"), ["a", "b"], "left_anti")
-        found.append(verify(pairs))
-        used.append(pivots)
-        comps = components(now(found).filter("linked"))
+        # A text can't share the shingles that it alone holds among all texts still open, `own`; with those left, a link reaches texts of
+        # up to `reach` shingles. The set of open texts only shrinks, so bounds found once hold.
+        if bounds is None:
+            waiting = texts.join(open_rows.df.select("node").distinct(), "node")
+            held = waiting.mapInArrow(_exploded, "shingle long, node long, n long")
+            alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("n").alias("n")).filter("node = last").groupBy("node").agg(F.sum("n").alias("own"))
+            words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+            sized = waiting.select("node", F.greatest(words - (SHINGLE - 1), F.lit(1)).alias("size"))
+            reach = (F.col("size") * (1 + similarity) - F.coalesce("own", F.lit(0)) * (1 + similarity) - similarity * F.col("size")) / similarity
+            places = open_rows.df.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
+            bounded = sized.join(alone, "node", "left").select("node", "size", reach.alias("reach")).filter(F.col("reach") >= similarity * F.col("size") - 1e-6)
+            bounds = Cut(bounded.join(places, "node"), "bounds")
+        able = open_rows.df.join(bounds.df, "node")
+        order = Window.partitionBy("bucket").orderBy("node")
+        least = able.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("bucket", *[F.col(x).alias(f"other_{x}") for x in ("node", "comp", "size", "reach", "buckets")])
+        outside = able.filter("comp <> main").select("bucket", "node", "comp", "size", "reach", "buckets")
+        # A pair is made in the least of the buckets that it shares.
+        fits = "other_comp <> comp and other_size <= reach + 1e-6 and size <= other_reach + 1e-6 and array_min(array_intersect(buckets, other_buckets)) = bucket"
+        pairs = outside.join(least, "bucket").filter(fits).select(*ordered("other_node", "node")).distinct()
+        found.append(verify(pairs.join(now(found).select("a", "b"), ["a", "b"], "left_anti")))
+        comps = merged(comps, found[-1].df.filter("linked"))
         open_rows.drop()
+        done, most = most, most * MORE
     links = now(found).filter("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     labels = comps.df.select("node", "comp").join(degree, "node", "left")
