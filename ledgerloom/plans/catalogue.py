@@ -5,13 +5,127 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as T
+from ledgerloom.operators import artifacts as A
+from ledgerloom.operators import windows as W
+from ledgerloom.sources.tables import REFS_SQL, SURFACE_SQL, references, surface, table
+from ledgerloom.streaming import state as S
 
 FLAGSHIP = "rng1_select_range"
+RETAIN, FLOOR, MINIMUM, THRESHOLD = 300, 0.5, 50, 600
+
+S_ = f"WITH s AS ({SURFACE_SQL})"
+R_ = f"WITH r AS ({REFS_SQL})"
+L_ = """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents),
+ x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM l)"""
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    axis = lambda name, *v: spark.range(1).select(F.explode(F.array(*map(F.lit, v))).alias(name))
+    return axis("window", *[x * 1000 for x in (8, 32, 128)]).withColumn("ratio", F.explode(F.array(*map(F.lit, (0.5, 0.8, 0.95))))).withColumn("requested", F.explode(F.array(F.lit(512), F.lit(4096)))).withColumn("default_max", F.lit(8192)).select(
+        F.col("window").cast("long"), "ratio", F.col("requested").cast("long"), F.col("default_max").cast("long")
+    )
+
+
+def _docs(f: Callable[..., DataFrame], *a) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(table(spark, d, "documents"), *a)
+
+
+def _surface(f: Callable[..., DataFrame], *a) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(surface(spark, d), *a)
+
+
+def _refs(f: Callable[..., DataFrame], *a) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(references(spark, d), *a)
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{32,}"), F.lit(0))).alias("token"))
+    return found.select("doc_id", "token", F.round(T.entropy(F.col("token")), 6).alias("bits"), (T.entropy(F.col("token")) >= 4.0).alias("redacted"))
+
+
+_CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "rng1_select_range": (
+        _surface(W.select_range, RETAIN, FLOOR, MINIMUM),
+        f"""WITH n AS ({SURFACE_SQL}),
+ w AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suf, count(*) OVER (PARTITION BY session) AS n, CASE WHEN has_system THEN 1 ELSE 0 END AS first FROM n),
+ k AS (SELECT session, any_value(n) AS n, any_value(first) AS first, coalesce(max(CASE WHEN suf >= {RETAIN} THEN pos END), 0) AS keep0 FROM w GROUP BY session),
+ a AS (SELECT w.session, any_value(k.first) AS first, any_value(k.n) AS n, coalesce(min(CASE WHEN w.pos >= keep0 AND NOT (w.is_checkpoint AND w.suf - w.tokens >= {RETAIN * FLOOR}) THEN w.pos END), any_value(k.n)) AS keep1
+       FROM w JOIN k ON w.session = k.session GROUP BY w.session HAVING any_value(keep0) > any_value(k.first)),
+ b AS (SELECT w.session, any_value(a.first) AS first, max(CASE WHEN w.balanced AND w.pos <= a.keep1 AND w.pos > a.first THEN w.pos END) AS keep2 FROM w JOIN a ON w.session = a.session WHERE a.keep1 < a.n GROUP BY w.session)
+SELECT w.session, CAST(any_value(b.first) AS BIGINT) AS start, any_value(b.keep2) - 1 AS "end", CAST(sum(tokens) AS BIGINT) AS tokens
+FROM w JOIN b ON w.session = b.session WHERE b.keep2 IS NOT NULL AND w.pos >= b.first AND w.pos < b.keep2 GROUP BY w.session HAVING sum(tokens) >= {MINIMUM}""",
+    ),
+    "rng2_tail_tokens": (_surface(W.tail_tokens), f"{S_} SELECT session, pos, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC) AS BIGINT) AS tail FROM s"),
+    "rng3_pairing_balance": (
+        _surface(W.pairing_balance),
+        f"""{S_}, b AS (SELECT session, pos, CAST(coalesce(sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS open_calls FROM s)
+SELECT *, open_calls = 0 AS balanced FROM b""",
+    ),
+    "txt10_token_estimate": (lambda spark, d: surface(spark, d).select("session", "pos", "tokens"), f"{S_} SELECT session, pos, tokens FROM s"),
+    "pol_running_pressure": (_surface(W.running_pressure), f"{S_} SELECT session, pos, tokens, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY pos) AS BIGINT) AS pressure FROM s"),
+    "pol1_threshold_crossing": (
+        _surface(W.threshold_crossing, THRESHOLD),
+        f"{S_}, p AS (SELECT session, pos, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY pos) AS BIGINT) AS pressure FROM s) SELECT session, min(pos) AS pos, min(pressure) AS pressure FROM p WHERE pressure >= {THRESHOLD} GROUP BY session",
+    ),
+    "pol5_resolve_budgets": (
+        lambda spark, d: W.resolve_budgets(_grid(spark)),
+        """WITH g AS (SELECT CAST(w AS BIGINT) AS "window", CAST(r AS DOUBLE) AS ratio, CAST(q AS BIGINT) AS requested FROM (VALUES (8000), (32000), (128000)) a(w), (VALUES (0.5), (0.8), (0.95)) b(r), (VALUES (512), (4096)) c(q)),
+ h AS (SELECT *, greatest(CAST(floor(least(8192, greatest("window" * CAST(0.05 AS DOUBLE), requested * CAST(2 AS DOUBLE)))) AS BIGINT), requested) AS reserve FROM g)
+SELECT "window", ratio, requested, reserve, least(CAST(floor("window" * ratio) AS BIGINT), "window" - reserve) AS threshold, "window" - reserve > 0 AS feasible FROM h""",
+    ),
+    "src2_last_turns": (_surface(W.last_turns), f"{S_} SELECT session, max(pos) AS turn, arg_max(role, pos) AS role, arg_max(role, pos) = 'user' AS open_turn FROM s GROUP BY session"),
+    "src_role_profile": (_surface(W.role_profile), f"{S_} SELECT role, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS largest FROM s GROUP BY role"),
+    "txt5_split_lines": (_docs(A.split_lines), f"{L_} SELECT doc_id, line_no, line FROM x"),
+    "txt2_line_offsets": (_docs(A.line_offsets), f"{L_} SELECT doc_id, line_no, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM x"),
+    "art4_chunk_lines": (
+        _docs(A.chunk_lines, 8, 2),
+        f"""{L_}, c AS (SELECT doc_id, l, unnest(list_filter(range(0, len(l), 6), lambda s: s = 0 OR s + 2 < len(l))) AS s FROM l)
+SELECT doc_id, s + 1 AS line_start, CAST(least(s + 8, len(l)) AS BIGINT) AS line_end, sha256(array_to_string(l[s + 1:s + 8], chr(10))) AS sha256 FROM c""",
+    ),
+    "art2_read_lines": (_docs(A.read_lines, 2, 4), f"{L_} SELECT doc_id, array_to_string(l[2:4], chr(10)) AS slice, CAST(len(l[2:4]) AS BIGINT) AS n_lines FROM l"),
+    "art3_grep_context": (
+        _docs(A.grep, "token", 1),
+        f"""{L_} SELECT x.doc_id, x.line_no, array_to_string(l.l[greatest(x.line_no - 1, 1):x.line_no + 1], chr(10)) AS context FROM x JOIN l ON x.doc_id = l.doc_id WHERE contains(x.line, 'token')""",
+    ),
+    "enc8_content_address": (
+        _docs(A.content_address),
+        "WITH d AS (SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents) SELECT sha256, bytes, count(*) AS copies, min(doc_id) AS first_doc, (count(*) - 1) * bytes AS saved FROM d GROUP BY sha256, bytes",
+    ),
+    "enc1_fold_runs": (
+        _docs(A.fold_runs),
+        f"""{L_}, y AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS g FROM x)
+SELECT doc_id, min(line_no) AS line_no, count(*) AS length, CAST(any_value(length(line)) AS BIGINT) AS line_chars FROM y GROUP BY doc_id, line, g HAVING count(*) >= 2""",
+    ),
+    "red3_entropy_tokens": (
+        _docs(_tokens),
+        """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{32,}')) AS token FROM documents),
+ e AS (SELECT doc_id, token, list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)) * log2(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)))) AS bits FROM t)
+SELECT doc_id, token, round(bits, 6) AS bits, bits >= 4.0 AS redacted FROM e""",
+    ),
+    "txt8_mime": (lambda spark, d: table(spark, d, "pages").select("page_id", T.mime(F.col("html")).alias("mime")), "SELECT page_id, CASE WHEN regexp_matches(regexp_replace(html[:512], '^\\s+', ''), '^[\\{\\[]') THEN 'application/json' ELSE 'text/plain' END AS mime FROM pages"),
+    "txt13_single_line": (_docs(lambda d: d.select("doc_id", F.sha2(T.single_line(F.col("text")), 256).alias("sha256"))), "SELECT doc_id, sha256(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS sha256 FROM documents"),
+    "txt14_escape_newlines": (_docs(lambda d: d.select("doc_id", F.sha2(T.escape_newlines(F.col("text")), 256).alias("sha256"))), "SELECT doc_id, sha256(replace(replace(text, '\\', '\\\\'), chr(10), '\\n')) AS sha256 FROM documents"),
+    "acl2_visible_refs": (_refs(A.visible, "t1", "confidential"), f"{R_} SELECT * FROM r WHERE tenant = 't1' AND list_position(['public', 'internal', 'confidential', 'secret'], label) <= 3"),
+    "acl3_effective_label": (
+        _refs(A.effective_label),
+        f"{R_} SELECT tenant, sha256, ['public', 'internal', 'confidential', 'secret'][min(list_position(['public', 'internal', 'confidential', 'secret'], label))] AS label, count(*) AS claims FROM r GROUP BY tenant, sha256",
+    ),
+    "lif3_sweep": (_refs(A.sweep, 500), f"{R_} SELECT sha256, count(*) AS claims FROM r GROUP BY sha256 HAVING max(retain_until) < 500"),
+    "str1_hysteresis": (
+        lambda spark, d: S.hysteresis(table(spark, d, "events"), 60.0, 20.0),
+        """WITH m AS (SELECT event_id, user_id, ts, CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END AS mark FROM events)
+SELECT event_id, user_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS active FROM m""",
+    ),
+    "str6_replay_guard": (lambda spark, d: S.replay_guard(table(spark, d, "events")).groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY user_id"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q for k, (q, _) in _CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _CATALOGUE.items()}
