@@ -35,7 +35,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Least members of a bucket that the first round compares with the texts outside its main class, and how many times more each further round takes.
-MEMBERS, MORE = 16, 64
+MEMBERS, MORE = 8, 64
+#: Passes that find texts out of all others' reach.
+PASSES = 3
 _KEY_BITS = 44
 
 
@@ -236,15 +238,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         # A text can't share the shingles that it alone holds among all texts still open, `own`; with those left, a link reaches texts of
         # up to `reach` shingles. The set of open texts only shrinks, so bounds found once hold.
         if bounds is None:
-            waiting = texts.join(open_rows.df.select("node").distinct(), "node")
-            held = waiting.mapInArrow(_exploded, "shingle long, node long, n long")
-            alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("n").alias("n")).filter("node = last").groupBy("node").agg(F.sum("n").alias("own"))
-            words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-            sized = waiting.select("node", F.greatest(words - (SHINGLE - 1), F.lit(1)).alias("size"))
-            reach = (F.col("size") * (1 + similarity) - F.coalesce("own", F.lit(0)) * (1 + similarity) - similarity * F.col("size")) / similarity
             places = open_rows.df.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
-            bounded = sized.join(alone, "node", "left").select("node", "size", reach.alias("reach")).filter(F.col("reach") >= similarity * F.col("size") - 1e-6)
-            bounds = Cut(bounded.join(places, "node"), "bounds")
+            words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+            reach = (F.col("size") - F.coalesce("own", F.lit(0)) * (1 + similarity)) / similarity
+            waiting = places.select("node")
+            for _ in range(PASSES):  # a text that is out of all others' reach lends them no shingles in the next pass
+                held = texts.join(waiting, "node")
+                alone = held.mapInArrow(_exploded, "shingle long, node long, n long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("n").alias("n"))
+                alone = alone.filter("node = last").groupBy("node").agg(F.sum("n").alias("own"))
+                sized = held.select("node", F.greatest(words - (SHINGLE - 1), F.lit(1)).alias("size")).join(alone, "node", "left")
+                bounds = Cut(sized.select("node", "size", reach.alias("reach")).filter(F.col("reach") >= similarity * F.col("size") - 1e-6), "bounds")
+                waiting = bounds.df.select("node")
+            bounds = Cut(bounds.df.join(places, "node"), "bounds")
         able = open_rows.df.join(bounds.df, "node")
         order = Window.partitionBy("bucket").orderBy("node")
         least = able.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("bucket", *[F.col(x).alias(f"other_{x}") for x in ("node", "comp", "size", "reach", "buckets")])
