@@ -4,9 +4,9 @@ A window is 35 consecutive words of one text. Its minimiser is the least hash am
 have equal minimisers, and consecutive windows that share one occurrence of theirs form a super-k-mer. Minimisers that start at one place
 only can't belong to a repeated window: they are counted first, as narrow rows, and only the super-k-mers of the others
 travel, each as one packed string, to the bucket of their minimiser, where sorting their windows counts them exactly.
-Buckets of a minimiser with more than HOT super-k-mers are not gathered: their windows are counted by 128-bit
-fingerprints in an aggregation that combines on the map side, so that a passage that a third of all texts share
-spreads over all tasks.
+Buckets of a minimiser with more than HOT super-k-mers are not gathered: equal super-k-mers of theirs count once and their
+windows are counted by 128-bit fingerprints, in aggregations that combine on the map side, so that a passage that a third
+of all texts share spreads over all tasks.
 
 A text that occurs in several rows is handled once; all its windows occur elsewhere, so from 35 words on it loses all words.
 
@@ -99,15 +99,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each super-k-mer with 128-bit fingerprints of its words and of each of its windows."""
+
+    def of(words: list[bytes]) -> bytes:
+        return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
     for batch in batches:
-        for part in slices(batch, "text", 1 << 18):
+        for part in slices(batch, "text", 1 << 19):
             rows = []
             for key, words, spans in _lists(part):
                 for x in spans:
-                    for i in range(x["at"], x["at"] + x["n"]):
-                        got = hashlib.blake2b(b" ".join(words[i : i + WINDOW]), digest_size=16).digest()
-                        rows.append((int.from_bytes(got[:8], "big", signed=True), int.from_bytes(got[8:], "big", signed=True), key, i))
-            yield _table(rows, [pa.int64(), pa.int64(), pa.binary(), pa.int32()], ["high", "low", "key", "at"])
+                    a, n = x["at"], x["n"]
+                    rows.append((of(words[a : a + n + WINDOW - 1]), key, a, [of(words[i : i + WINDOW]) for i in range(a, a + n)]))
+            yield _table(rows, [pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.binary())], ["span", "key", "at", "windows"])
 
 
 def _table(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -181,11 +185,17 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     texts = Cut(base.join(spans.small("key"), "key").groupBy("key").agg(F.first("text").alias("text")).join(spans.df, "key"), "texts").df
     cold = texts.select("key", "text", F.col("cold_spans").alias("spans")).filter("size(spans) > 0").mapInArrow(_pack, "mini long, key binary, at int, n int, packed binary")
     marks = cold.select("mini", "key", "at", "packed").repartition("mini").sortWithinPartitions("mini").mapInArrow(_count, "key binary, at int")
-    warm = Cut(texts.select("key", "text", F.col("hot_spans").alias("spans")).filter("size(spans) > 0").mapInArrow(_fingerprints, "high long, low long, key binary, at int"), "warm")
+    marks = marks.select("key", F.array("at").alias("starts"))
+    warm = Cut(texts.select("key", "text", F.col("hot_spans").alias("spans")).filter("size(spans) > 0").mapInArrow(_fingerprints, "span binary, key binary, at int, windows array<binary>"), "warm")
     if warm.rows:
-        again = warm.df.groupBy("high", "low").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("high", "low")
-        marks = marks.unionByName(warm.df.join(again, ["high", "low"], "left_semi").select("key", "at"))
-    starts = marks.groupBy("key").agg(F.collect_list("at").alias("starts"))
+        # Equal super-k-mers count once; all windows of one that starts at two places are repeated, and so are those that two of them share.
+        place = F.xxhash64("key", "at")
+        kinds = warm.df.groupBy("span").agg((F.min(place) != F.max(place)).alias("twice"), F.first("windows").alias("windows"))
+        each = Cut(kinds.select("span", "twice", F.posexplode("windows").alias("i", "window")), "windows").df
+        again = each.groupBy("window").agg(F.min("span").alias("x"), F.max("span").alias("y"), F.bool_or("twice").alias("twice")).filter("twice or x <> y").select("window")
+        found_in = each.join(again, "window", "left_semi").groupBy("span").agg(F.collect_list("i").alias("i"))
+        marks = marks.unionByName(warm.df.join(found_in, "span").select("key", F.transform("i", lambda i: i + F.col("at")).alias("starts")))
+    starts = marks.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     changed = texts.select("key", "text").join(starts, "key").mapInArrow(_strip, "key binary, n_removed long, kept_sha256 string, kept string")
     return rows, changed
 
