@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import _shared, near_dups, packing, pii, quality, substring
 
-#: DuckDB has no counterpart of the divergence, near-duplicate, boosted and packing stages; tests/llm/test_pipeline.py checks each against its operator's contract.
+#: DuckDB has no counterpart of the divergence, near-duplicate, boosted and packing stages; tests/llm checks each stage's operator by itself.
 ORACLE_SQL = None
 
 
