@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lines
+from ledgerloom.operators.redaction import replace_each
 from ledgerloom.sources.tables import LABELS
 
+#: Opens the mark of a folded run; a count and a bracket end it.
+FOLD = "[repeat:v1 additional="
+
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 1), line."""
@@ -61,17 +65,95 @@ def rank(label):
     return F.array_position(F.array(*map(F.lit, LABELS)), label)
 
 
-def visible(refs: DataFrame, tenant: str, most: str) -> DataFrame:
-    """The claims that a principal of this tenant and highest label may use."""
-    return refs.filter((F.col("tenant") == tenant) & (rank(F.col("label")) <= LABELS.index(most) + 1))
+def visible(refs: DataFrame, tenant: str, most: str, now: int) -> DataFrame:
+    """The claims that a principal of this tenant and highest label may use now."""
+    return refs.filter((F.col("tenant") == tenant) & (F.col("retain_until") > now) & (rank(F.col("label")) <= LABELS.index(most) + 1))
 
 
 def effective_label(refs: DataFrame) -> DataFrame:
-    """The lowest label under which each tenant holds a content."""
-    low = refs.groupBy("tenant", "sha256").agg(F.min(rank(F.col("label"))).alias("r"), F.count("*").alias("claims"))
-    return low.select("tenant", "sha256", F.element_at(F.array(*map(F.lit, LABELS)), F.col("r").cast("int")).alias("label"), "claims")
+    """The most restrictive label under which each tenant holds a content."""
+    high = refs.groupBy("tenant", "sha256").agg(F.max(rank(F.col("label"))).alias("r"), F.count("*").alias("claims"))
+    return high.select("tenant", "sha256", F.element_at(F.array(*map(F.lit, LABELS)), F.col("r").cast("int")).alias("label"), "claims")
+
+
+def authorized(docs: DataFrame, refs: DataFrame, tenant: str, most: str, now: int) -> DataFrame:
+    """doc_id, status: a text without a visible claim is missing, whatever else claims it."""
+    held = visible(refs, tenant, most, now).select("sha256").distinct().withColumn("seen", F.lit(True))
+    return docs.select("doc_id", F.sha2("text", 256).alias("sha256")).join(held, "sha256", "left").select("doc_id", F.when(F.col("seen"), "OK").otherwise("MISSING").alias("status"))
+
+
+def expired(refs: DataFrame, now: int) -> DataFrame:
+    """Contents that lose claims now, and how many."""
+    return refs.filter(F.col("retain_until") <= now).groupBy("sha256").agg(F.count("*").alias("dropped"))
+
+
+def released(refs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Claims that are left once those of `gone` (ref_id) are given up."""
+    return refs.join(gone.select("ref_id"), "ref_id", "left_anti")
 
 
 def sweep(refs: DataFrame, now: int) -> DataFrame:
     """Contents whose claims have all expired."""
-    return refs.groupBy("sha256").agg(F.max("retain_until").alias("last"), F.count("*").alias("claims")).filter(F.col("last") < now).select("sha256", "claims")
+    return refs.groupBy("sha256").agg(F.max("retain_until").alias("last"), F.count("*").alias("claims")).filter(F.col("last") <= now).select("sha256", "claims")
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """Distinct contents and their bytes."""
+    return content_address(docs).agg(F.count("*").alias("blobs"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def uris(docs: DataFrame) -> DataFrame:
+    """doc_id, sha256 of the addresses that a text cites, each once."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("artifact://sha256/([0-9a-f]{64})"), 1))
+    return docs.select("doc_id", F.explode(found).alias("sha256"))
+
+
+def scrubbed(docs: DataFrame, refs: DataFrame, mark: str = "[unresolvable]") -> DataFrame:
+    """Texts whose cited addresses without a claim in `refs` give way to a mark. Texts that cite none pass without a join's rows."""
+    known = uris(docs).join(refs.select("sha256").distinct(), "sha256", "left_semi").groupBy("doc_id").agg(F.collect_set("sha256").alias("known"))
+    pattern = "artifact://sha256/[0-9a-f]{64}"
+    keep = lambda m: F.when(F.array_contains(F.coalesce("known", F.array().cast("array<string>")), F.substring(m, 19, 64)), m).otherwise(mark)
+    return docs.join(known, "doc_id", "left").select("doc_id", replace_each(F.col("text"), pattern, keep).alias("text"))
+
+
+def folded(docs: DataFrame, least: int = 4) -> DataFrame:
+    """Texts in which a run of equal lines is one line and its count, where that is shorter; texts that hold the mark already are unchanged."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = split_lines(docs.filter(~F.contains("text", F.lit(FOLD)))).withColumn("new", F.when(F.lag("line").over(order).eqNullSafe(F.col("line")) & (F.col("line_no") > 1), 0).otherwise(1))
+    runs = rows.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    mark = F.concat(F.lit(FOLD), (F.col("n") - 1).cast("string"), F.lit("]"))
+    worth = (F.col("n") >= least) & ((F.length("line") + 1) * (F.col("n") - 1) > F.length(mark) + 32)
+    part = F.when(worth, F.concat("line", F.lit("\n"), mark)).otherwise(F.array_join(F.array_repeat("line", F.col("n").cast("int")), "\n"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", part.alias("part")))), lambda x: x.part), "\n")
+    return runs.groupBy("doc_id").agg(text.alias("text"), F.sum(worth.cast("long")).alias("folds"))
+
+
+def unfolded(docs: DataFrame) -> DataFrame:
+    """The inverse of `folded`: each mark repeats the line before it."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    count = F.regexp_extract("next", r"^\[repeat:v1 additional=(\d{1,7})\]$", 1)
+    rows = split_lines(docs).withColumn("next", F.coalesce(F.lead("line").over(order), F.lit(""))).filter(~F.startswith("line", F.lit(FOLD)))
+    whole = F.array_join(F.array_repeat("line", F.when(count == "", 1).otherwise(count.cast("int") + 1)), "\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", whole.alias("part")))), lambda x: x.part), "\n")
+    return rows.groupBy("doc_id").agg(text.alias("text"))
+
+
+def payload_groups(messages: DataFrame, least: int = 128) -> DataFrame:
+    """Payloads that a session repeats: the last place defines one, earlier places refer to it; groups that save too little stay as they are."""
+    groups = messages.groupBy("session", "payload").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    groups = groups.filter((F.col("n") > 1) & ((F.col("n") - 1) * F.length("payload") >= least))
+    ids = groups.withColumn("id", F.row_number().over(Window.partitionBy("session").orderBy("first")).cast("long"))
+    rows = messages.select("session", "pos", "payload").join(ids, ["session", "payload"])
+    return rows.select("session", "pos", "id", F.when(F.col("pos") == F.col("last"), "define").otherwise("refer").alias("part"))
+
+
+def store(docs: DataFrame, path: str) -> int:
+    """Appends to the Parquet table at `path` the contents (sha256, text, bytes) that it lacks; returns how many. Running it again adds none."""
+    spark = docs.sparkSession
+    new = docs.select(F.sha2("text", 256).alias("sha256"), "text", F.octet_length("text").cast("long").alias("bytes")).filter("text is not null").dropDuplicates(["sha256"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    seen = Observation()
+    new.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]

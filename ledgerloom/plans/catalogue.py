@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators import artifacts as A
 from ledgerloom.operators import windows as W
+from ledgerloom.plans.sessions import CATALOGUE as MORE
 from ledgerloom.sources.tables import REFS_SQL, SURFACE_SQL, references, surface, table
 from ledgerloom.streaming import state as S
 
@@ -108,12 +109,12 @@ SELECT doc_id, token, round(bits, 6) AS bits, bits >= 4.0 AS redacted FROM e""",
     "txt8_mime": (lambda spark, d: table(spark, d, "pages").select("page_id", T.mime(F.col("html")).alias("mime")), "SELECT page_id, CASE WHEN regexp_matches(regexp_replace(html[:512], '^\\s+', ''), '^[\\{\\[]') THEN 'application/json' ELSE 'text/plain' END AS mime FROM pages"),
     "txt13_single_line": (_docs(lambda d: d.select("doc_id", F.sha2(T.single_line(F.col("text")), 256).alias("sha256"))), "SELECT doc_id, sha256(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS sha256 FROM documents"),
     "txt14_escape_newlines": (_docs(lambda d: d.select("doc_id", F.sha2(T.escape_newlines(F.col("text")), 256).alias("sha256"))), "SELECT doc_id, sha256(replace(replace(text, '\\', '\\\\'), chr(10), '\\n')) AS sha256 FROM documents"),
-    "acl2_visible_refs": (_refs(A.visible, "t1", "confidential"), f"{R_} SELECT * FROM r WHERE tenant = 't1' AND list_position(['public', 'internal', 'confidential', 'secret'], label) <= 3"),
+    "acl2_visible_refs": (_refs(A.visible, "t1", "confidential", 200), f"{R_} SELECT * FROM r WHERE tenant = 't1' AND retain_until > 200 AND list_position(['public', 'internal', 'confidential', 'secret'], label) <= 3"),
     "acl3_effective_label": (
         _refs(A.effective_label),
-        f"{R_} SELECT tenant, sha256, ['public', 'internal', 'confidential', 'secret'][min(list_position(['public', 'internal', 'confidential', 'secret'], label))] AS label, count(*) AS claims FROM r GROUP BY tenant, sha256",
+        f"{R_} SELECT tenant, sha256, ['public', 'internal', 'confidential', 'secret'][max(list_position(['public', 'internal', 'confidential', 'secret'], label))] AS label, count(*) AS claims FROM r GROUP BY tenant, sha256",
     ),
-    "lif3_sweep": (_refs(A.sweep, 500), f"{R_} SELECT sha256, count(*) AS claims FROM r GROUP BY sha256 HAVING max(retain_until) < 500"),
+    "lif3_sweep": (_refs(A.sweep, 500), f"{R_} SELECT sha256, count(*) AS claims FROM r GROUP BY sha256 HAVING max(retain_until) <= 500"),
     "str1_hysteresis": (
         lambda spark, d: S.hysteresis(table(spark, d, "events"), 60.0, 20.0),
         """WITH m AS (SELECT event_id, user_id, ts, CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END AS mark FROM events)
@@ -124,8 +125,8 @@ SELECT event_id, user_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for k, (q, _) in _CATALOGUE.items()}
+    return {k: q for k, (q, _) in (_CATALOGUE | MORE).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _CATALOGUE.items()}
+    return {k: s for k, (_, s) in (_CATALOGUE | MORE).items()}
