@@ -116,6 +116,17 @@ def test_quality(docs):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_references_hold_against_junk(spark):
+    clean = [" ".join(np.random.default_rng(i).permutation(PROSE * 3)) for i in range(80)]
+    shout = ["A LINE OF CAPITALS NUMBER " * 2 + " ".join(f"W{chr(65 + j % 26)}{chr(65 + (j * k) % 26)}" for j in range(60)) for k in range(24)]
+    far = [" ".join("".join(map(chr, word)) for word in np.random.default_rng(i).integers(1072, 1104, (70, 5))) for i in range(60)]
+    texts = [("en", t, "clean") for t in clean] + [("en", shout[0], "junk")] * 60 + [("en", t, "junk") for t in shout]
+    texts += [("ru", t, "clean") for t in far] + [("nl", t, "clean") for t in clean] + [(None, t, "clean") for t in [*clean, *far]]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string, kind string").repartition(3)
+    kept = quality.keep_good(docs).groupBy("lang", "kind").count().collect()
+    assert {(r.lang, r.kind): r["count"] for r in kept} == {("en", "clean"): 80, ("ru", "clean"): 60, ("nl", "clean"): 80, (None, "clean"): 140}
+
+
 def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     inner = "<p>WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\n" + "x" * 5000 + "WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     rows = [(1, "u\n x", "é" * 60), (2, None, "é" * 60), (3, "u", None), (5, "u", inner), (7, "u", inner), (8, "u", "\r\n\r\n" * 40)]
