@@ -4,7 +4,10 @@ A page is cut into blocks at block-level tags. A linear classifier over the bloc
 text, sentence ends) and those of its place (element names, class and id words of its ancestors) gives each block a cost of being called
 content and a cost of being called boilerplate; these are its capacities to the two terminals. Neighbours in page order
 and blocks under one parent are joined by smoothness edges. The minimum cut separates content from boilerplate. Elements
-that are never main text (navigation, forms, scripts, ...) have unbounded costs, so no neighbour pulls them over.
+that are never main text (navigation, forms, scripts, ...) have unbounded costs, so no neighbour pulls them over. So has what
+is labelled as advert, comments, sidebar or the like inside an article or main element: the credit of that place is the article's, not
+the inset's. An article that opens in such an element of main, and is not itself so labelled, is judged again; so is an element
+with a label for content beside the other.
 
 Text is never dropped inside a content block and blocks are never capped: only the cut decides.
 
@@ -55,14 +58,14 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; those of white space only are left out."""
-    # Open elements: (name, number, never, bad, good, names of ancestors and itself).
-    stack: list[tuple] = [("", 0, False, False, False, frozenset())]
+    # Open elements: (name, number, never, bad, good, names of ancestors and itself, inset).
+    stack: list[tuple] = [("", 0, False, False, False, frozenset(), False)]
     made, now, out = 0, None, []
     raw: str | None = None
 
     def close_to(i: int) -> None:
         nonlocal now
-        if any(x[0] in BLOCK or x[2] != stack[i - 1][2] or x[3] != stack[i - 1][3] for x in stack[i:]):
+        if any(x[0] in BLOCK or x[2] != stack[i - 1][2] or x[3] != stack[i - 1][3] or x[6] != stack[i - 1][6] for x in stack[i:]):
             now = None
         del stack[i:]
 
@@ -85,7 +88,7 @@ def blocks(page: str) -> list[Block]:
                     continue
                 home = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
                 top = stack[-1]
-                now = Block(home[1], home[0], top[2], top[3], top[4], top[5])
+                now = Block(home[1], home[0], top[2] or top[6], top[3], top[4], top[5])
                 out.append(now)
             now.parts.append(m[4])
             if "a" in stack[-1][5]:
@@ -128,14 +131,19 @@ def blocks(page: str) -> list[Block]:
         never = up[2] or name in NEVER or bool(hidden) or attributes.get("role", "").lower() in ROLES or (name == "header" and not up[5] & {"article", "main"})
         # The root elements' labels say nothing about a block, and an article may be called a post with comments.
         bad = up[3] or (name not in ("body", "html", "article", "main") and bool(BAD.search(label)))
+        inset = up[6]
+        if name == "article" and "article" not in up[5]:
+            inset = inset and bool(BAD.search(label))
+        elif name not in ("body", "html", "article", "main") and up[5] & {"article", "main"} and BAD.search(label):
+            inset = inset or not any(GOOD.search(x) and not BAD.search(x) for x in label.split())
         if never and not up[2]:
             now = None
-        if bad != up[3]:
+        if bad != up[3] or inset != up[6]:
             now = None
         if m[3].endswith("/") and name in ("svg", "path", "circle", "rect", "use"):
             continue
         made += 1
-        stack.append((name, made, never, bad, up[4] or name in ("article", "main") or bool(GOOD.search(label)), up[5] | {name}))
+        stack.append((name, made, never, bad, up[4] or name in ("article", "main") or bool(GOOD.search(label)), up[5] | {name}, inset))
         if name in RAW:
             raw = name
     return [b for b in out if not "".join(b.parts).isspace()]

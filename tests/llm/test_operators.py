@@ -150,6 +150,14 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == ""
 
 
+@pytest.mark.parametrize("place", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<main><div class='layout sidebar-right'><article>{}</article></div></main>", "<article><div class='entry-content share-on'>{}</div></article>"])
+def test_main_text_leaves_insets_out(place):
+    words = " ".join(["The lines of this text are long enough to be content."] * 4)
+    insets = ["<div class=ad>A sentence.</div>", f"<div class='comments'><p>{words * 20}</p></div>", f"<ol class=comment-list><li><article class='comment-body'><p>{words}</p></article></li></ol>", f"<div id=newsletter><h2>News</h2><p>{words}</p></div>", f"<section class='notice'>{words}</section>"]
+    for inset in insets:
+        assert html_text.main_text(f"<body>{place.format(f'<p>First. {words}</p>{inset}<p>Last. {words}</p>')}</body>") == f"First. {words}\n\nLast. {words}"
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(1500, 16)).astype(np.float32)
