@@ -116,26 +116,35 @@ def scrubbed(docs: DataFrame, refs: DataFrame, mark: str = "[unresolvable]") ->
     return docs.join(known, "doc_id", "left").select("doc_id", replace_each(F.col("text"), pattern, keep).alias("text"))
 
 
-def folded(docs: DataFrame, least: int = 4) -> DataFrame:
-    """Texts in which a run of equal lines is one line and its count, where that is shorter; texts that hold the mark already are unchanged."""
+def folded_all(docs: DataFrame, least: int = 4) -> DataFrame:
+    """Texts in which a run of equal lines is one line and its count, where that is shorter; null texts and those that hold the mark already are unchanged, and a final line end stays."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = split_lines(docs.filter(~F.contains("text", F.lit(FOLD)))).withColumn("new", F.when(F.lag("line").over(order).eqNullSafe(F.col("line")) & (F.col("line_no") > 1), 0).otherwise(1))
+    parts = F.when(F.contains("text", F.lit(FOLD)) | F.col("text").isNull(), F.array("text")).otherwise(F.split("text", "\n", -1))
+    rows = docs.select("doc_id", F.posexplode(parts).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "line").withColumn("new", F.when(F.lag("line").over(order).eqNullSafe(F.col("line")) & (F.col("line_no") > 1), 0).otherwise(1))
     runs = rows.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     mark = F.concat(F.lit(FOLD), (F.col("n") - 1).cast("string"), F.lit("]"))
-    worth = (F.col("n") >= least) & ((F.length("line") + 1) * (F.col("n") - 1) > F.length(mark) + 32)
+    worth = (F.col("n") >= least) & ((F.length("line") + 1) * (F.col("n") - 1) > F.length(mark) + 32)  # a null text is a run of one
     part = F.when(worth, F.concat("line", F.lit("\n"), mark)).otherwise(F.array_join(F.array_repeat("line", F.col("n").cast("int")), "\n"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", part.alias("part")))), lambda x: x.part), "\n")
-    return runs.groupBy("doc_id").agg(text.alias("text"), F.sum(worth.cast("long")).alias("folds"))
+    return runs.groupBy("doc_id").agg(F.when(F.count("line") > 0, text).alias("text"), F.sum(worth.cast("long")).alias("folds"))
+
+
+def folded(docs: DataFrame, least: int = 4) -> DataFrame:
+    """`folded_all` of the texts that can be folded: those that are null or hold the mark already have no row."""
+    return folded_all(docs.filter(~F.contains("text", F.lit(FOLD))), least)
 
 
 def unfolded(docs: DataFrame) -> DataFrame:
-    """The inverse of `folded`: each mark repeats the line before it."""
+    """The inverse of `folded_all`: each mark repeats the line before it. Texts of which `folds` says that nothing was folded are unchanged, as are null texts."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    count = F.regexp_extract("next", r"^\[repeat:v1 additional=(\d{1,7})\]$", 1)
-    rows = split_lines(docs).withColumn("next", F.coalesce(F.lead("line").over(order), F.lit(""))).filter(~F.startswith("line", F.lit(FOLD)))
+    mark = r"^\[repeat:v1 additional=(\d{1,7})\]\z"
+    count = F.regexp_extract("next", mark, 1)
+    whole_text = F.col("text").isNull() | ((F.col("folds") == 0) if "folds" in docs.columns else F.lit(False))
+    rows = docs.select("doc_id", whole_text.alias("same"), F.posexplode(F.when(whole_text, F.array("text")).otherwise(F.split("text", "\n", -1))).alias("line_no", "line"))
+    rows = rows.withColumn("next", F.coalesce(F.lead("line").over(order), F.lit(""))).filter(F.col("same") | (F.col("line_no") == 0) | ~F.rlike("line", F.lit(mark)))
     whole = F.array_join(F.array_repeat("line", F.when(count == "", 1).otherwise(count.cast("int") + 1)), "\n")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", whole.alias("part")))), lambda x: x.part), "\n")
-    return rows.groupBy("doc_id").agg(text.alias("text"))
+    return rows.groupBy("doc_id").agg(F.when(F.count("line") > 0, text).alias("text"))
 
 
 def payload_groups(messages: DataFrame, least: int = 128) -> DataFrame:

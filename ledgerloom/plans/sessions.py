@@ -112,13 +112,13 @@ SELECT doc_id, sha256({_zip("'artifact://sha256/[0-9a-f]{64}'", "CASE WHEN list_
     "lif2_expired": (_on(T.references, lambda r: A.expired(r, 300)), f"WITH {_R} SELECT sha256, count(*) AS dropped FROM r WHERE retain_until <= 300 GROUP BY sha256"),
     "lif5_totals": (lambda spark, d: A.totals(T.table(spark, d, "documents")), "SELECT count(*) AS blobs, CAST(coalesce(sum(b), 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT sha256(text) AS s, octet_length(encode(text)) AS b FROM documents)"),
     "enc1_folded": (
-        _on(T.runs, lambda df: _hashed(A.folded(df))),
+        _on(T.runs, lambda df: _hashed(A.folded_all(df))),
         f"""WITH t AS ({T.RUNS_SQL}), l0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM t WHERE NOT contains(text, '[repeat:v1 additional=')), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l0),
  y AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS g FROM x), z AS (SELECT doc_id, min(i) AS i, line, count(*) AS n FROM y GROUP BY doc_id, line, g),
  w AS (SELECT *, concat('[repeat:v1 additional=', CAST(n - 1 AS STRING), ']') AS mark FROM z), v AS (SELECT *, n >= 4 AND (length(line) + 1) * (n - 1) > length(mark) + 32 AS worth FROM w)
 SELECT doc_id, CAST(sum(CAST(worth AS INT)) AS BIGINT) AS folds, sha256(string_agg(CASE WHEN worth THEN concat(line, chr(10), mark) ELSE concat(repeat(concat(line, chr(10)), n - 1), line) END, chr(10) ORDER BY i)) AS sha256 FROM v GROUP BY doc_id""",
     ),
-    "enc2_round_trip": (_on(T.runs, lambda df: _hashed(A.unfolded(A.folded(df)))), f"WITH t AS ({T.RUNS_SQL}) SELECT doc_id, sha256(text) AS sha256 FROM t"),
+    "enc2_round_trip": (_on(T.runs, lambda df: _hashed(A.unfolded(A.folded_all(df)))), f"WITH t AS ({T.RUNS_SQL}) SELECT doc_id, sha256(text) AS sha256 FROM t"),
     "enc5_payload_groups": (
         _on(T.payloads, A.payload_groups),
         f"""WITH m AS ({T.PAYLOADS_SQL}), g AS (SELECT session, payload, count(*) AS n, min(pos) AS a, max(pos) AS z FROM m GROUP BY session, payload HAVING count(*) > 1 AND (count(*) - 1) * length(payload) >= 128),

@@ -49,6 +49,16 @@ def test_folding_inverts_and_leaves_marks_alone(spark):
     assert A.folded(spark.createDataFrame([(1, A.FOLD)], "doc_id long, text string")).count() == 0
 
 
+def test_folding_loses_no_text(spark):
+    run = "a line of text that repeats\n"
+    texts = [(1, run * 6), (2, "a\nb\n"), (3, ""), (4, None), (5, "\n" * 70), (6, f"{run * 6}{A.FOLD}3]\nx\n"), (7, f"{A.FOLD}"), (8, run * 5 + "\n")]
+    folded = A.folded_all(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: r.folds for r in folded.collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0, 8: 1}
+    assert sorted(map(tuple, A.unfolded(folded).collect())) == texts
+    other = [(1, f"{A.FOLD}x] is kept\n")]
+    assert list(map(tuple, A.unfolded(spark.createDataFrame(other, "doc_id long, text string")).collect())) == other
+
+
 def test_store_adds_a_content_once(spark, tmp_path):
     docs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "text string")
     assert [A.store(docs, f"{tmp_path}/blobs") for _ in range(2)] == [2, 0]
