@@ -29,6 +29,11 @@ PROTECTED = ["deliverables", "user_pins", "errors", "tests", "files", "artifacts
 RENDERED = ["deliverables", "files", "artifacts", "commands", "tests", "errors", "user_pins"]
 LABEL = r"(?i)(^|\W)(Q\d+|Question\s?\d+|Task\s?\d+)(\W|$)"
 RANGE = r"(?i)Q(\d+)\s*-\s*Q?(\d+)"
+# The same as whole words, and what ends an entry's subject behind its first label or range.
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+WORD_LABEL = rf"{_B}(Q\d+|Question\s?\d+|Task\s?\d+){_E}"
+WORD_RANGE = rf"{_B}Q(\d+)\s*-\s*Q?(\d+){_E}"
+DELIMITER = r"(?:[:.—]|\s-\s)"
 SPAN = 50
 OVERHEAD = 4
 
@@ -110,10 +115,20 @@ def labels(messages: DataFrame) -> DataFrame:
 
 
 def label_ranges(messages: DataFrame, column: str = "subject") -> DataFrame:
-    """One row for each label of a range such as Q1-Q3, of at most SPAN labels; wider or backward ranges name none."""
-    rows = messages.select("session", "seq", *[F.regexp_extract(column, RANGE, i).try_cast("long").alias(x) for i, x in ((1, "a"), (2, "b"))])
-    some = rows.filter((F.col("b") >= F.col("a")) & (F.col("b") - F.col("a") <= SPAN))
-    return some.select("session", "seq", F.explode(F.sequence("a", "b")).alias("i")).select("session", "seq", F.concat(F.lit("q"), F.col("i").cast("string")).alias("label"))
+    """One row for each label of an entry's subject, which goes from its first label to the next delimiter: those it names, and those within its ranges such as Q1-Q3.
+
+    A range that spans more than SPAN, or doesn't end above its start, names its two ends only. A closing bracket is a delimiter right behind the first label or range.
+    """
+    rest = messages.select("session", "seq", F.regexp_extract(column, f"(?is){WORD_LABEL}.*", 0).alias("rest"))
+    split = rest.withColumn("head", F.regexp_extract("rest", f"(?i)^(?:{WORD_RANGE}|{WORD_LABEL})", 0)).withColumn("tail", F.substring(F.col("rest"), F.length("head") + 1, F.length("rest")))
+    tail = F.when(F.rlike("tail", F.lit(r"^\s*\)")), "").otherwise(F.regexp_replace("tail", f"(?s){DELIMITER}.*", ""))
+    rows = split.select("session", "seq", F.concat("head", tail).alias("subject"))
+    ends = lambda i: F.regexp_extract_all("subject", F.lit(f"(?i){WORD_RANGE}"), i)
+    spans = F.transform(F.arrays_zip(ends(1).alias("a"), ends(2).alias("b")), lambda x: F.struct(x.a.try_cast("long").alias("a"), x.b.try_cast("long").alias("b")))
+    some = F.filter(spans, lambda x: (x.b > x.a) & (x.b - x.a <= SPAN))
+    within = F.flatten(F.transform(some, lambda x: F.transform(F.sequence(x.a, x.b), lambda i: F.concat(F.lit("q"), i.cast("string")))))
+    named = F.transform(F.regexp_extract_all("subject", F.lit(f"(?i){WORD_LABEL}"), 1), normal_label)
+    return rows.select("session", "seq", F.explode(F.array_distinct(F.concat(named, within))).alias("label"))
 
 
 def unresolved(found: DataFrame, tracked: DataFrame) -> DataFrame:

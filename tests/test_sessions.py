@@ -59,6 +59,18 @@ def test_folding_loses_no_text(spark):
     assert list(map(tuple, A.unfolded(spark.createDataFrame(other, "doc_id long, text string")).collect())) == other
 
 
+@pytest.mark.parametrize(
+    ("subject", "want"),
+    [
+        ("Q1, Q3: done", "q1 q3"), ("Question 2 done", "q2"), ("Task 4", "task4"), ("Q1-Q3 and Q5-7 done", "q1 q2 q3 q5 q6 q7"), ("Q2: compare with Q1", "q2"), ("Q2 - compare with Q1", "q2"), ("Q2 — as Q1", "q2"),
+        ("Q1 - Q3: answered, not Q9", "q1 q2 q3"), ("1. Q1: answered", "q1"), ("Q1) as Q2", "q1"), ("Q1 (API) and Q2: completed", "q1 q2"), ("Q3-Q1", "q1 q3"), ("Q1-Q99", "q1 q99"), ("Q4-Q4 done", "q4"), ("FAQ1 moved", ""), (None, ""),
+    ],
+)
+def test_labels_of_a_subject(spark, subject, want):
+    got = N.label_ranges(spark.createDataFrame([("s", 0, subject)], "session string, seq long, subject string"))
+    assert sorted(r.label for r in got.collect()) == want.split()
+
+
 def test_store_adds_a_content_once(spark, tmp_path):
     docs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "text string")
     assert [A.store(docs, f"{tmp_path}/blobs") for _ in range(2)] == [2, 0]
