@@ -22,6 +22,9 @@ TOKEN = rf"{_B}[A-Za-z0-9+/_-]{{32,}}={{0,2}}{_E}"
 BITS = 4.0
 REPORT = [
     ("personal path", r"(/home/[A-Za-z0-9_.-]+|/media/[A-Za-z0-9_.-]+|/Users/[A-Za-z0-9_.-]+|[A-Za-z]:[\\/]+Users[\\/]+[A-Za-z0-9_.-]+)"),
+    ("GitHub token", r"(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,})"),
+    ("API key", r"(sk-(proj-)?[A-Za-z0-9_-]{24,}|AKIA[A-Z0-9]{16})"),
+    ("private key", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----"),
     ("private network address", r"(^|\W)(10(\.\d{1,3}){3}|192\.168(\.\d{1,3}){2}|172\.(1[6-9]|2\d|3[01])(\.\d{1,3}){2})(\W|$)"),
     ("hardware address", r"(^|\W)([A-Fa-f0-9]{2}:){5}[A-Fa-f0-9]{2}(\W|$)"),
     ("e-mail", r"(^|\W)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(\W|$)"),

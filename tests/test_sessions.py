@@ -21,6 +21,12 @@ def test_each_rule_catches(spark, text, rule):
     assert got.hits == 1 and f"[REDACTED:{rule}:" in got.text
 
 
+def test_publication_report_names_credentials(spark):
+    texts = ["ghp_" + "a1B2" * 8, "github_pat_" + "a_B2" * 10, "sk-proj-" + "ab_1" * 6, "AKIA" + "A1" * 8, "-----BEGIN EC " + "PRIVATE KEY-----", "ghp_short sk-short AKIA1", None]
+    got = R.publication_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, "GitHub token"), (1, "GitHub token"), (2, "API key"), (3, "API key"), (4, "private key")]
+
+
 def test_kept_texts(spark):
     same = ["", "plain words", H[:40], f"artifact://sha256/{H}", "sk-short"]
     got = R.redacted(spark.createDataFrame([(i, t) for i, t in enumerate([*same, None])], "doc_id long, text string"))
