@@ -8,8 +8,8 @@ are merged, widened to all rows that hold them, and scored in double precision o
 
 Measured recall against brute force is in the README and tests/llm/test_ann.py.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of another
-length than the first query's table holds most; null ids take no part; repeated rows (id and vector) are candidates each;
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors are
+compared with those of their own length, each length being searched by itself; null ids take no part; repeated rows (id and vector) are candidates each;
 ties go to the smaller id; an empty table gives an empty table.
 """
 
@@ -150,7 +150,9 @@ def _stacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(c.flatten(), np.float32).reshape(len(c), -1)
 
 
-def _answer(longest: float):
+def _answer(longest: dict[int, float]):
+    """longest: the greatest norm of the vectors of each length."""
+
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query", "point", "nearness"]
         types = [pa.int64(), pa.int64(), pa.float64()]
@@ -160,7 +162,7 @@ def _answer(longest: float):
         x, q, ids = _stacked(points.column("v")), _stacked(queries.column("v")), np.asarray(points.column("point"))
         take = min(TOP + 1, len(x))
         beam = min(max(BEAM, take), len(x))
-        graph = Graph(_lifted(x, longest)) if len(x) > BEAM else None
+        graph = Graph(_lifted(x, longest[x.shape[1]])) if len(x) > BEAM else None
         out = []
         names_q = np.asarray(queries.column("query"))
         for at in range(0, len(q), STEP):
@@ -199,15 +201,16 @@ def search(queries: DataFrame, candidates: DataFrame, top: int = TOP, same: bool
     held = Cut(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.monotonically_increasing_id()), "points")
     if not held.rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length, longest = held.df.select(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))))).first()
-    asked = Cut(clean(queries).filter(F.size("v") == length), "asked")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
+    longest = {r.length: float(r.longest) for r in held.df.groupBy(F.size("v").alias("length")).agg(F.max(norm).alias("longest")).collect()}
+    asked = Cut(clean(queries), "asked")
     kinds = Cut(asked.df.groupBy("v").agg(F.count("*").alias("n")).withColumn("query", F.monotonically_increasing_id()), "queries")
     shards = max(LEAST_SHARDS, -(-held.rows // SHARD_POINTS))
     blocks = max(1, -(-kinds.rows // BLOCK))
     at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = held.df.filter(F.size("v") == length).select("point", "v", at("point", shards).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-    right = kinds.df.select("query", "v", at("query", blocks).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_answer(float(longest)), "query long, point long, nearness double")
+    left = held.df.select("point", "v", F.size("v").alias("length"), at("point", shards).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    right = kinds.df.select("query", "v", F.size("v").alias("length"), at("query", blocks).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+    found = left.groupBy("length", "shard", "block").cogroup(right.groupBy("length", "shard", "block")).applyInArrow(_answer(longest), "query long, point long, nearness double")
     best = Window.partitionBy("query").orderBy(F.desc("nearness"), "point")
     near = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("query", "point", "nearness")
     wide = near.join(held.df.select("point", "ids"), "point").select("query", "nearness", F.explode("ids").alias("vec_id"))

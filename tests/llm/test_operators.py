@@ -173,3 +173,13 @@ def test_neighbours(spark):
         s[q] = -np.inf
         hit += len(set(got[q]) & set(np.lexsort((np.arange(1500), -s))[:20].tolist()))
     assert hit / (20 * 75) >= 0.9 and 5020 not in got
+
+
+def test_neighbours_of_each_length(spark):
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [9.0] * 12), (101, [1.0] * 12), (102, [5.0] * 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.query_id: r.vec_id for r in ann.search(table, table, top=1).collect()}
+    near = x @ x.T
+    np.fill_diagonal(near, -np.inf)
+    assert got == dict(enumerate(near.argmax(axis=1).tolist())) | {100: 101, 101: 100}
