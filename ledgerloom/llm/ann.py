@@ -150,17 +150,17 @@ def _stacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(c.flatten(), np.float32).reshape(len(c), -1)
 
 
-def _answer(longest: dict[int, float]):
-    """longest: the greatest norm of the vectors of each length."""
+def _answer(longest: dict[int, float], top: int):
+    """longest: the greatest norm of the vectors of each length. Equally near points go by their least id."""
 
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query", "point", "nearness"]
-        types = [pa.int64(), pa.int64(), pa.float64()]
+        names = ["query", "point", "least", "nearness"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not points.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in types], names)
-        points = points.sort_by("point")
-        x, q, ids = _stacked(points.column("v")), _stacked(queries.column("v")), np.asarray(points.column("point"))
-        take = min(TOP + 1, len(x))
+        points = points.sort_by([("least", "ascending"), ("point", "ascending")])
+        x, q, ids, least = _stacked(points.column("v")), _stacked(queries.column("v")), np.asarray(points.column("point")), np.asarray(points.column("least"))
+        take = min(top + 1, len(x))
         beam = min(max(BEAM, take), len(x))
         graph = Graph(_lifted(x, longest[x.shape[1]])) if len(x) > BEAM else None
         out = []
@@ -172,11 +172,11 @@ def _answer(longest: dict[int, float]):
             else:
                 found, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1), np.float32)], axis=1), beam)
             near = np.where(found >= 0, np.einsum("bd,bkd->bk", part.astype(np.float64), x[found].astype(np.float64)), -np.inf)
-            best = np.argsort(-near, axis=1, kind="stable")[:, :take]
+            best = np.lexsort((found, -near), axis=1)[:, :take]
             r = np.arange(len(part))[:, None]
             value, got = near[r, best], found[r, best]
             ok = np.isfinite(value)
-            out.append((np.broadcast_to(names_q[at : at + STEP, None], got.shape)[ok], ids[got[ok]], value[ok]))
+            out.append((np.broadcast_to(names_q[at : at + STEP, None], got.shape)[ok], ids[got[ok]], least[got[ok]], value[ok]))
         return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
@@ -208,10 +208,10 @@ def search(queries: DataFrame, candidates: DataFrame, top: int = TOP, same: bool
     shards = max(LEAST_SHARDS, -(-held.rows // SHARD_POINTS))
     blocks = max(1, -(-kinds.rows // BLOCK))
     at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = held.df.select("point", "v", F.size("v").alias("length"), at("point", shards).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    left = held.df.select("point", F.element_at("ids", 1).alias("least"), "v", F.size("v").alias("length"), at("point", shards).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
     right = kinds.df.select("query", "v", F.size("v").alias("length"), at("query", blocks).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
-    found = left.groupBy("length", "shard", "block").cogroup(right.groupBy("length", "shard", "block")).applyInArrow(_answer(longest), "query long, point long, nearness double")
-    best = Window.partitionBy("query").orderBy(F.desc("nearness"), "point")
+    found = left.groupBy("length", "shard", "block").cogroup(right.groupBy("length", "shard", "block")).applyInArrow(_answer(longest, top), "query long, point long, least long, nearness double")
+    best = Window.partitionBy("query").orderBy(F.desc("nearness"), "least", "point")
     near = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("query", "point", "nearness")
     wide = near.join(held.df.select("point", "ids"), "point").select("query", "nearness", F.explode("ids").alias("vec_id"))
     ranked = wide.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("nearness")).alias("far"), "vec_id"))), 1, top + 1).alias("answers"))

@@ -183,3 +183,17 @@ def test_neighbours_of_each_length(spark):
     near = x @ x.T
     np.fill_diagonal(near, -np.inf)
     assert got == dict(enumerate(near.argmax(axis=1).tolist())) | {100: 101, 101: 100}
+
+
+def test_neighbours_beyond_twenty_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_SHARDS", 1)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [a.vec_id for a in ann.search(table.filter("vec_id = 7"), table, top=150).orderBy("rank").collect()]
+    s = x.astype(float) @ x[7].astype(float)
+    s[7] = -np.inf
+    assert len(got) == 150 and len(set(got) & set(np.argsort(-s)[:150].tolist())) >= 140
+    tied = spark.createDataFrame([(1000 - i, [1.0, float(i)]) for i in range(1, 91)], "vec_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [a.vec_id for a in ann.search(asked, tied, top=5).orderBy("rank").collect()] == list(range(910, 915))
