@@ -64,7 +64,7 @@ def role_profile(surface: DataFrame) -> DataFrame:
 
 
 def resolve_budgets(grid: DataFrame) -> DataFrame:
-    """threshold, release and reserve of window, ratio, release_ratio, default_max, requested: integers, by floors."""
+    """threshold and reserve of window, ratio, default_max, requested: integers, by floors."""
     whole = lambda c: F.floor(c).cast("long")
     w = grid.withColumn("reserve", F.greatest(whole(F.least("default_max", F.greatest(F.col("window") * 0.05, F.col("requested") * 2.0))), F.col("requested")))
     w = w.withColumn("usable", F.col("window") - F.col("reserve")).withColumn("wanted", whole(F.col("window") * F.col("ratio")))
