@@ -6,16 +6,25 @@ Points above the count are passed over, and a slot holds the earliest point that
 with the probability of their weighted Jaccard similarity. Points later than a text's time horizon can't win a slot, so
 only K log K of them are made whatever the text's length.
 
-Equal bands of slots put texts in buckets. Pairs out of buckets are verified exactly on their shingle multisets, first
-each text against the least member of its buckets, then, in every bucket whose members still lie in different
-classes, the texts outside the bucket's main class against members of other classes, first few and in the end all, but for pairs that
-the shingles which a text holds alone prove to be too far apart. Two texts of one
-bucket that remain in different classes have thus been compared, so no link within a bucket is lost, while a bucket of
-mutual copies costs one comparison a member.
+Equal bands of slots put texts in buckets. Pairs out of buckets are verified on their multisets of 64-bit shingle hashes, first each
+text against the least member of its buckets. Buckets that share texts form a cluster, and a cluster that still holds several
+classes is searched for all links between them, without comparing its members with one another:
+
+* The shingles that more than half of the cluster's texts hold are its core, and each text is encoded as its difference d from
+  the core. Two texts of sizes a and b are linked just if their differences differ in at most c (a + b) shingles, where
+  c = (1 - s) / (1 + s); with v = d - c a, if their differences share at least (v + v') / 2 shingles.
+* Texts with v + v' <= 0 are thus linked whatever they hold; all of them are linked to the cluster's text of least v.
+* Any other link shares one of the rarest shingles of both differences: rare first, a text's d - need + 1 are enough, where
+  need is the least of (v + v') / 2 over the other classes. Only texts that share one of these, and whose later shingles
+  can still make up the need, are pairs to verify.
+
+So no link within a cluster is lost, while near copies of one text, which hold most shingles in common, meet by what sets
+them apart. A cluster of mutual copies costs one comparison a member.
 
 Defined cases: null or empty texts, and texts without a word, form no links but to equal texts (exact copies are one
 class); texts of fewer than five words have the one shingle of all their words; repeated rows are copies of one class;
-an empty table gives an empty table; null doc_ids are kept as rows of their own.
+an empty table gives an empty table; null doc_ids are kept as rows of their own; very long texts are cut into shingles one at a
+time; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,34 +34,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import Cut, digest, free_name
+from ledgerloom.llm._shared import Cut, digest, free_name, own
 from ledgerloom.llm._words import U, Words, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
-#: Least members of a bucket that the first round compares with the texts outside its main class, and how many times more each further round takes.
-MEMBERS, MORE = 8, 64
-#: Passes that find texts out of all others' reach.
-PASSES = 3
+#: Bits of a shingle's hash that seed its processes; links are verified on 64 bits.
 _KEY_BITS = 44
 
 
-def shingle_keys(w: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) of a batch as text index << 44 | 44 bits of the shingle's hash, sorted, and their counts."""
+def _shingles(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the 64-bit hash of every shingle of a batch."""
     at, h = w.windows(shingle)
-    owner = w.owner()
+    who = w.owner()[at]
     short = np.flatnonzero((w.count > 0) & (w.count < shingle))
-    who = owner[at]
     if len(short):
         whole = np.array([mix(np.array([hash_run(w, i)], U))[0] for i in short], U)
         who, h = np.concatenate([who, short]), np.concatenate([h, whole])
+    return who, h
+
+
+def shingle_keys(w: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, shingle) of a batch as text index << 44 | 44 bits of the shingle's hash, sorted, and their counts."""
+    who, h = _shingles(w, shingle)
     return np.unique((who.astype(U) << U(_KEY_BITS)) | (h >> U(64 - _KEY_BITS)), return_counts=True)
 
 
+def shingle_sets(w: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, 64-bit hash and count of the distinct shingles of each text, in this order."""
+    who, h = _shingles(w, shingle)
+    order = np.lexsort((h, who))
+    who, h = who[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (h[1:] != h[:-1])])) if len(who) else np.zeros(0, np.int64)
+    return who[first], h[first], np.diff(np.append(first, len(who)))
+
+
+def elements(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text and element: a multiset as a set, whose elements are a shingle's first, second, ... occurrence. In order of the texts."""
+    who, h, count = shingle_sets(w)
+    at = np.repeat(np.arange(len(h)), count)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return who[at], np.where(nth > 0, mix(h[at] ^ mix(nth)), h[at]).astype(np.int64)
+
+
 def hash_run(w: Words, i: int) -> int:
     total = int(w.count[i])
     for x in w.hash[w.first[i] : w.first[i] + w.count[i]]:
@@ -143,43 +171,78 @@ def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a"):
-                sets = [shingle_keys(Words(part.column(x))) for x in ("text_a", "text_b")]
-                sizes = [np.bincount((k >> U(_KEY_BITS)).astype(np.int64), n, part.num_rows) for k, n in sets]
-                both, i, j = np.intersect1d(sets[0][0], sets[1][0], assume_unique=True, return_indices=True)
-                common = np.bincount((both >> U(_KEY_BITS)).astype(np.int64), np.minimum(sets[0][1][i], sets[1][1][j]), part.num_rows)
-                joint = sizes[0] + sizes[1] - common
+                sides = [shingle_sets(Words(part.column(x))) for x in ("text_a", "text_b")]
+                size = sum(np.bincount(who, n, part.num_rows) for who, _, n in sides)
+                who, h, n = (np.concatenate(x) for x in zip(*sides, strict=True))
+                order = np.lexsort((h, who))
+                who, h, n = who[order], h[order], n[order]
+                both = np.flatnonzero((who[1:] == who[:-1]) & (h[1:] == h[:-1]))  # a shingle of one text stands there once
+                common = np.bincount(who[both], np.minimum(n[both], n[both + 1]), part.num_rows)
+                joint = size - common
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array((joint > 0) & (common >= least * joint - 1e-9))], ["a", "b", "linked"])
 
     return run
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's shingles and their counts."""
+    """The elements of each text, with its cluster."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 19):
-            keys, count = shingle_keys(Words(part.column("text")))
-            node = np.asarray(part.column("node"))[(keys >> U(_KEY_BITS)).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array((keys & U((1 << _KEY_BITS) - 1)).astype(np.int64)), pa.array(node), pa.array(count.astype(np.int64))], ["shingle", "node", "n"])
+            who, e = elements(Words(part.column("text")))
+            at = pa.array(who)
+            yield pa.RecordBatch.from_arrays([part.column("cluster").take(at), part.column("n").take(at), pa.array(e)], ["cluster", "n", "element"])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with each text's size and the size of its difference from the core, and a row for each element of the difference."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 19):
+            who, e = elements(Words(part.column("text")))
+            bounds = np.searchsorted(who, np.arange(part.num_rows + 1))
+            size = np.diff(bounds)
+            apart = []
+            for i in range(part.num_rows):
+                own, core = e[bounds[i] : bounds[i + 1]], part.column("core")[i]
+                core = np.asarray(core.values) if core.is_valid else own[:0]
+                apart.append(np.setxor1d(own, core, assume_unique=True) if len(core) else own)
+            d = np.array([len(x) for x in apart], np.int64)
+            at = pa.array(np.repeat(np.arange(part.num_rows), d))
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), pa.array(size.astype(np.int64)), pa.array(d), none], ["cluster", "node", "size", "d", "element"])
+            more = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("cluster").take(at), part.column("node").take(at), more, more, pa.array(np.concatenate(apart) if len(at) else np.zeros(0, np.int64))], ["cluster", "node", "size", "d", "element"])
 
 
 def components(links: DataFrame) -> Cut:
-    """node, comp: the least node that can be reached over links a, b. Each round a node takes the least label among its neighbours and its label's own label."""
-    ends = Cut(links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "ends")
-    labels = Cut(ends.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
-    while True:
-        hop = ends.df.join(labels.df, ends.df.b == labels.df.node).groupBy("a").agg(F.min("comp").alias("near"))
-        up = labels.df.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = Cut(
-            labels.df.join(hop, labels.df.node == hop.a, "left").join(up, "comp", "left")
-            .select("node", F.least("comp", "near", "up").alias("comp"), (F.least("near", "up") < F.col("comp")).alias("moved")),
-            "labels",
-        )
-        moved = after.df.filter("moved").limit(1).count()
-        labels.drop()
-        labels = after
-        if not moved:
-            ends.drop()
-            return labels
+    """node, comp: the least node that can be reached over links a, b.
+
+    Each round hangs every node below its least neighbour, follows the trees to their roots, and goes on with the links between roots,
+    so a group that hangs on few texts is one node after the first round.
+    """
+    edges = Cut(links.select(*_ordered("a", "b")).filter("a <> b").distinct(), "ends")
+    labels = None
+    while labels is None or edges.rows:
+        roots = Cut(edges.df.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")), "roots")
+        while True:
+            up = roots.df.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+            after = Cut(roots.df.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), F.col("up").isNotNull().alias("moved")), "roots", "moved")
+            roots.drop()
+            roots = after
+            if not after.flagged:
+                break
+        to = lambda x: roots.df.select(F.col("node").alias(x), F.col("comp").alias(f"root_{x}"))
+        known = roots.df.select("node", "comp")
+        if labels is not None:
+            known = known.unionByName(labels.df.join(to("comp"), "comp", "left").select("node", F.coalesce("root_comp", "comp").alias("comp")))
+        left = edges.df.join(to("a"), "a", "left").join(to("b"), "b", "left").select(*_ordered(F.coalesce("root_a", "a"), F.coalesce("root_b", "b")))
+        now, rest = Cut(known, "labels"), Cut(left.filter("a <> b").distinct(), "ends")
+        for x in (roots, edges, *([labels] if labels else [])):
+            x.drop()
+        labels, edges = now, rest
+    edges.drop()
+    whole = Cut(labels.df.unionByName(labels.df.select(F.col("comp").alias("node"), "comp").distinct()), "labels")
+    labels.drop()
+    return whole
 
 
 def merged(labels: Cut, links: DataFrame) -> Cut:
@@ -192,6 +255,67 @@ def merged(labels: Cut, links: DataFrame) -> Cut:
     return Cut(old.unionByName(new), "labels")
 
 
+def _rivals(nodes: DataFrame) -> DataFrame:
+    """nodes (cluster, node, class, v, ...) with other: the least v among the cluster's texts of other classes. Texts of clusters of one class go."""
+    least = nodes.groupBy("cluster", "class").agg(F.min("v").alias("v"))
+    first = least.groupBy("cluster").agg(F.min(F.struct("v", "class")).alias("first"))
+    second = least.join(first, "cluster").filter(F.col("class") != F.col("first.class")).groupBy("cluster").agg(F.first("first").alias("first"), F.min("v").alias("second"))
+    other = F.when(F.col("class") == F.col("first.class"), F.col("second")).otherwise(F.col("first.v"))
+    return nodes.join(second, "cluster").withColumn("other", other).drop("first", "second")
+
+
+def _need(v: str, other: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil((F.col(v) + F.col(other)) / 2 - 1e-6))
+
+
+def cluster_pairs(texts: DataFrame, opened: Cut, relabel, similarity: float) -> None:
+    """Finds all links between classes of the open clusters: relabel(pairs) verifies pairs a, b and gives the classes (node, comp) after it.
+
+    texts: node, text; opened: cluster, n (its texts), node, class.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    held = Cut(texts.join(opened.small("node", "cluster", "n"), "node"), "open-texts")
+    core = held.df.mapInArrow(_exploded, "cluster long, n long, element long").groupBy("cluster", "n", "element").count().filter(2 * F.col("count") > F.col("n"))
+    core = Cut(core.groupBy("cluster").agg(F.collect_list("element").alias("core")), "core")  # at most twice the mean size of the cluster's texts
+    encoded = Cut(held.df.select("cluster", "node", "text").join(core.small("cluster", "core"), "cluster", "left").mapInArrow(_encoded, "cluster long, node long, size long, d long, element long"), "encoded")
+    sized = Cut(encoded.df.filter("element is null").join(opened.small("node", "class"), "node").select("cluster", "node", "class", "d", (F.col("d") - slack * F.col("size")).alias("v")), "sized")
+
+    # Texts that no difference could keep from the text of least v.
+    least = sized.df.groupBy("cluster").agg(F.min(F.struct("v", "node", "class")).alias("least"))
+    sure = sized.df.join(least, "cluster").filter("v + least.v <= 1e-6 and class <> least.class").select(*_ordered("node", "least.node"))
+    labels = relabel(sure)
+    nodes = sized.df.drop("class").join(labels.df.withColumnRenamed("comp", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    shares = encoded.df.filter("element is not null").select("cluster", "node", "element")
+    nodes = Cut(_rivals(nodes).select("cluster", "node", "class", "d", "v", "other"), "rivals")
+    if not nodes.rows:
+        return
+
+    # Twice: elements that only one text holds can't be shared, and texts that lack elements to share lend them to no other.
+    for _ in range(2):
+        shared = shares.join(shares.groupBy("cluster", "element").agg(F.count("*").alias("f")).filter("f > 1"), ["cluster", "element"])
+        shared = Cut(shared, "shared")
+        able = nodes.df.select("cluster", "node", "class", "d", "v", "other").join(shared.df.groupBy("node").agg(F.count("*").alias("s")), "node").filter(_need("v", "other") <= F.col("s"))
+        nodes = Cut(_rivals(able.drop("other")), "able")  # with s, the elements that a text may share
+        if not nodes.rows:
+            return
+        shares = shared.df.join(nodes.df.select("node"), "node", "left_semi").select("cluster", "node", "element")
+    last = shares.join(shares.groupBy("cluster", "element").agg(F.count("*").alias("f")).filter("f > 1"), ["cluster", "element"])
+    order = Window.partitionBy("node").orderBy("f", "element")  # a text's elements
+    ranked = last.withColumn("r", F.row_number().over(order)).join(nodes.df, ["cluster", "node"])
+    # s counts the elements of the pass before, which is no less than now, so no prefix is too short.
+    prefix = Cut(ranked.filter(F.col("r") <= F.col("s") - _need("v", "other") + 1).select("cluster", "element", "node", "class", "v", (F.col("s") - F.col("r")).alias("rest")), "prefix")
+    a = prefix.df.select("cluster", "element", *[F.col(x).alias(f"{x}_a") for x in ("node", "class", "v", "rest")])
+    b = prefix.df.select("cluster", "element", *[F.col(x).alias(f"{x}_b") for x in ("node", "class", "v", "rest")])
+    met = a.join(b, ["cluster", "element"]).filter("node_a < node_b and class_a <> class_b and (v_a + v_b) / 2 <= 1 + least(rest_a, rest_b) + 1e-6")
+    relabel(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    for x in (held, core, encoded, sized, nodes, shared, prefix):
+        x.drop()
+
+
+def _ordered(a: Column | str, b: Column | str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, rid, node, comp, links) of all documents and pairs (a, b) of linked nodes.
 
@@ -201,91 +325,74 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     banded = base.mapInArrow(_banded(BANDS, BAND_ROWS, "text"), "doc_id long, key binary, bands array<long>")
-    rows = Cut(banded.withColumn("rid", F.monotonically_increasing_id()), "signed").df
-    classes = rows.groupBy("key").agg(F.min("rid").alias("node"))
-    nodes = rows.filter("bands is not null").join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "key", "bands")
+    signed = Cut(banded.withColumn("rid", F.monotonically_increasing_id()), "signed")
+    repeated = Cut(signed.df.groupBy("key").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "repeated")
+    rows = signed.df.join(repeated.small("key", "first"), "key", "left").withColumn("node", F.coalesce("first", "rid")).drop("first")
+    nodes = rows.filter("rid = node and bands is not null").select("node", "key", "bands")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = Cut(placed.join(shared, "bucket"), "members")
-    if not members.rows:
-        empty = spark.createDataFrame([], "a long, b long")
-        return rows.join(classes, "key").select("doc_id", "key", "rid", "node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("links")), empty
-    wanted = Cut(nodes.select("node", "key").join(members.df.select("node").distinct(), "node", "left_semi"), "wanted")
-    texts = Cut(base.join(wanted.small("node", "key"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts").df
-
-    def verify(pairs: DataFrame) -> Cut:
-        """a < b, linked: exactly, on the multisets of shingles."""
-        side = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        return Cut(pairs.select("a", "b").join(side[0], "a").join(side[1], "b").mapInArrow(_similar(similarity), "a long, b long, linked boolean"), "verified")
-
-    def now(found: list[Cut]) -> DataFrame:
-        out = found[0].df
-        for x in found[1:]:
-            out = out.unionByName(x.df)
-        return out
-
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    found = [verify(members.df.filter("node > centre").groupBy("node").agg(F.min("centre").alias("centre")).select(*ordered("centre", "node")))]
-    comps = components(found[0].df.filter("linked"))
-    done, most, bounds = 1, MEMBERS, None
-    while True:
-        # Members of the buckets that still hold more than one class and weren't compared whole, with their classes and that of the bucket's centre.
-        own = members.df.filter(F.col("n") > done).join(comps.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        state = own.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "node").alias("main")).filter("x < y").select("bucket", "main")
-        open_rows = Cut(own.select("bucket", "node", "comp").join(state, "bucket"), "open")
-        if not open_rows.rows:
-            break
-        # A text can't share the shingles that it alone holds among all texts still open, `own`; with those left, a link reaches texts of
-        # up to `reach` shingles. The set of open texts only shrinks, so bounds found once hold.
-        if bounds is None:
-            places = open_rows.df.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
-            words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-            reach = (F.col("size") - F.coalesce("own", F.lit(0)) * (1 + similarity)) / similarity
-            waiting = places.select("node")
-            for _ in range(PASSES):  # a text that is out of all others' reach lends them no shingles in the next pass
-                held = texts.join(waiting, "node")
-                alone = held.mapInArrow(_exploded, "shingle long, node long, n long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("n").alias("n"))
-                alone = alone.filter("node = last").groupBy("node").agg(F.sum("n").alias("own"))
-                sized = held.select("node", F.greatest(words - (SHINGLE - 1), F.lit(1)).alias("size")).join(alone, "node", "left")
-                bounds = Cut(sized.select("node", "size", reach.alias("reach")).filter(F.col("reach") >= similarity * F.col("size") - 1e-6), "bounds")
-                waiting = bounds.df.select("node")
-            bounds = Cut(bounds.df.join(places, "node"), "bounds")
-        able = open_rows.df.join(bounds.df, "node")
-        order = Window.partitionBy("bucket").orderBy("node")
-        least = able.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("bucket", *[F.col(x).alias(f"other_{x}") for x in ("node", "comp", "size", "reach", "buckets")])
-        outside = able.filter("comp <> main").select("bucket", "node", "comp", "size", "reach", "buckets")
-        # A pair is made in the least of the buckets that it shares.
-        fits = "other_comp <> comp and other_size <= reach + 1e-6 and size <= other_reach + 1e-6 and array_min(array_intersect(buckets, other_buckets)) = bucket"
-        pairs = outside.join(least, "bucket").filter(fits).select(*ordered("other_node", "node")).distinct()
-        found.append(verify(pairs.join(now(found).select("a", "b"), ["a", "b"], "left_anti")))
-        comps = merged(comps, found[-1].df.filter("linked"))
-        open_rows.drop()
-        done, most = most, most * MORE
-    links = now(found).filter("linked").select("a", "b")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("bucket", "centre")
+    # Each text with the least texts of its buckets: the edges that span the clusters.
+    edges = Cut(placed.join(shared, "bucket").filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "edges")
+    out = rows.select("doc_id", "key", "rid", "node")
+    if not edges.rows:
+        result = Cut(out.select("doc_id", "key", "rid", "node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("links")), "classes")
+        signed.drop()
+        return result.df, edges.df
+    wanted = Cut(nodes.select("node", "key").join(edges.df.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "wanted")
+    texts = Cut(base.join(wanted.small("node", "key"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    found: list[Cut] = []
+    labels: list[Cut] = []
+
+    def relabel(pairs: DataFrame) -> Cut:
+        """Verifies pairs a < b on the texts' multisets of shingles; the classes after it."""
+        asked = Cut(pairs, "pairs")
+        if labels and not asked.rows:
+            return labels[-1]
+        side = [texts.df.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        found.append(Cut(asked.df.join(side[0], "a").join(side[1], "b").mapInArrow(_similar(similarity), "a long, b long, linked boolean"), "verified", "linked"))
+        asked.drop()
+        if labels and not found[-1].flagged:
+            return labels[-1]
+        linked = found[-1].df.filter("linked")
+        labels.append(merged(labels[-1], linked) if labels else components(linked))
+        return labels[-1]
+
+    relabel(edges.df.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    clusters = components(edges.df)
+    state = clusters.df.select("node", F.col("comp").alias("cluster")).join(labels[-1].df, "node", "left").select("cluster", "node", F.coalesce("comp", "node").alias("class"))
+    # A cluster of two texts has had its one pair compared.
+    several = state.groupBy("cluster").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).filter("n > 2 and x < y").select("cluster", "n")
+    opened = Cut(state.join(several, "cluster"), "open")
+    if opened.rows:
+        cluster_pairs(texts.df, opened, relabel, similarity)
+    links = found[0].df
+    for x in found[1:]:
+        links = links.unionByName(x.df)
+    links = Cut(links.filter("linked").select("a", "b").distinct(), "links").df
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    labels = comps.df.select("node", "comp").join(degree, "node", "left")
-    out = rows.select("doc_id", "key", "rid").join(classes, "key").join(labels, "node", "left")
-    return out.select("doc_id", "key", "rid", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), links
+    end = labels[-1].df.select("node", "comp").join(degree, "node", "left")
+    result = Cut(out.join(end, "node", "left").select("doc_id", "key", "rid", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    for x in (signed, repeated, edges, wanted, texts, clusters, opened, *found, *labels):
+        x.drop()
+    return result.df, links
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the doc_id of the class's first row), links, keep (true for one row of each class)."""
-    rows, _ = near_duplicates(docs)
-    kept = Cut(rows, "classes").df
+    kept, _ = near_duplicates(docs)
     first = kept.filter("rid = comp").select("comp", F.col("doc_id").alias("class_id"))
     return kept.join(first, "comp").select("doc_id", "class_id", "links", (F.col("rid") == F.col("comp")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each class; its columns unchanged. Rows of unlinked, single texts pass through untouched."""
-    rows, _ = near_duplicates(docs, text, doc_id)
-    kept = Cut(rows.select("key", "rid", "node", "comp"), "classes").df
+    kept, _ = near_duplicates(docs, text, doc_id)
     per_text = kept.groupBy("key").agg(F.count("*").alias("n"), F.first(F.col("node") == F.col("comp")).alias("lead"))
     verdict = Cut(per_text.filter("n > 1 or not lead").select("key", "lead"), "verdict")
     k, lead, whole = (free_name(docs.columns, x) for x in ("key", "lead", "whole"))
     marked = docs.withColumn(k, digest(F.col(text))).join(verdict.small("key", "lead").withColumnsRenamed({"key": k, "lead": lead}), k, "left")
-    single = marked.filter(F.col(lead).isNull()).select(*docs.columns)
-    one = marked.filter(F.col(lead)).groupBy(k).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).alias(whole))
+    single = marked.filter(F.col(lead).isNull()).select(*own(docs))
+    one = marked.filter(F.col(lead)).groupBy(k).agg(F.min_by(F.struct(*own(docs)), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).alias(whole))
     return single.unionByName(one.select(f"{whole}.*"))
 
 
