@@ -2,27 +2,32 @@
 
 A page is cut into blocks at block-level tags. A linear classifier over the block's own features (length, share of linked
 text, sentence ends) and those of its place (element names, class and id words of its ancestors) gives each block a cost of being called
-content and a cost of being called boilerplate; these are its capacities to the two terminals. Neighbours in page order
-and blocks under one parent are joined by smoothness edges. The minimum cut separates content from boilerplate. Elements
-that are never main text (navigation, forms, scripts, ...) have unbounded costs, so no neighbour pulls them over. So has what
-is labelled as advert, comments, sidebar or the like inside an article or main element: the credit of that place is the article's, not
-the inset's. An article that opens in such an element of main, and is not itself so labelled, is judged again; so is an element
-with a label for content beside the other.
+content and a cost of being called boilerplate; these are its capacities to the two terminals. It is a logistic regression fitted, on
+the driver, on PAGES labelled pages made from templates with a fixed seed. Neighbours in page order and blocks under one parent are
+joined by smoothness edges. The minimum cut separates content from boilerplate. Elements that are never main text
+(navigation, scripts, ...) have unbounded costs, so no neighbour pulls them over. So has a form, unless it holds prose, as where a page
+lies in one form as a whole; and so has what is labelled as advert, comments, sidebar or the like inside an article or main element:
+the credit of that place is the article's, not the inset's. An article that opens in such an element of main, and is not itself
+so labelled, is judged again; so is an element with a label for content beside the other.
 
 Text is never dropped inside a content block and blocks are never capped: only the cut decides.
 
 Defined cases: null or empty html, and html without content, give an empty text; unclosed and stray tags are taken as browsers
-take them; repeated rows and null ids are rows of their own; an empty table gives an empty table.
+take them; a very long page is one value, whose blocks meet in one cut; repeated rows and null ids are rows of their own; other
+columns, whatever their names, play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,35 +36,50 @@ from pyspark.sql import functions as F
 BLOCK = set("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes template".split())
-NEVER = set("nav footer aside form script style template iframe noscript select button textarea head title menu dialog object svg canvas audio video noembed noframes datalist input search".split())
+NEVER = set("nav footer aside script style template iframe noscript select button textarea head title menu dialog object svg canvas audio video noembed noframes datalist input search".split())
 CLOSES_P = BLOCK - {"body", "head", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "title", "noscript", "canvas", "legend"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": set("article section div td li body blockquote main table".split())}
-BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav(?:bar|igation)?|menu|sidebar|side-?bar|footer|masthead|site-?header|page-?header|top-?bar|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|social|share|sharing|related|recommend(?:ed|ations?)?|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|widget|copyright|legal|pagination|pager|toolbar|login|search|tags|skip|toc|alert)(?:$|[\s_-])", re.I)
+BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav(?:bar|igation)?|menu|sidebar|side-?bar|footer|masthead|site-?header|page-?header|top-?bar|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|social|sharing|related|recommend(?:ed|ations?)?|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|widget|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+WEAK = re.compile(r"(?:^|[\s_-])(?:share|copyright|legal|login|search|tags|skip|toc|alert|links|meta|byline)(?:$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|main|text|prose)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 SPACE = re.compile(r"\s+")
-#: Weights of the classifier: log odds of content. Words is the logarithm of one more than the block's words.
-WEIGHTS = {"bias": -1.6, "words": 0.9, "linked": -4.0, "sentence": 0.9, "article": 3.0, "main": 1.5, "good": 1.0, "bad": -6.0, "heading": 0.8, "item": -0.4}
+FIELD = re.compile(r"<(?:select|textarea|button)\b|<input\b(?![^>]*type\s*=\s*[\"']?hidden)", re.I)
+SENTENCE = re.compile(r"[.!?。…:;][\"'”»)]*(?:\s|$)")
+#: Words that a form holds for each of its fields, and one more, from which it is no form but holds the page.
+FORM_WORDS = 40
+#: The classifier's features; words is the logarithm of one more than the block's words.
+FEATURES = ("bias", "words", "linked", "sentence", "article", "main", "good", "bad", "weak", "heading", "item")
+#: Pages that it is fitted on, the penalty of its weights, and the seed.
+PAGES, RIDGE, SEED = 400, 1.0, 20240307
 NEIGHBOUR, SIBLING, NEVER_COST = 0.6, 0.4, 1e6
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "tag", "never", "bad", "good", "inside")
+    __slots__ = ("parts", "linked", "path", "tag", "never", "bad", "weak", "good", "inside")
 
-    def __init__(self, path: int, tag: str, never: bool, bad: bool, good: bool, inside: frozenset):
-        self.parts, self.linked, self.path, self.tag, self.never, self.bad, self.good, self.inside = [], 0, path, tag, never, bad, good, inside
+    def __init__(self, path: int, tag: str, never: bool, bad: bool, weak: bool, good: bool, inside: frozenset):
+        self.parts, self.linked, self.path, self.tag, self.never, self.bad, self.weak, self.good, self.inside = [], 0, path, tag, never, bad, weak, good, inside
 
     def text(self) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
+def is_form(page: str, at: int) -> bool:
+    """Whether the form element whose start tag ends at this place is a form to fill in, and not what holds the page."""
+    end = re.compile(r"</form\b|<form\b", re.I).search(page, at)
+    inner = re.sub(r"(?is)<(script|style|template|noscript)\b.*?(?:</\1|\Z)|<!--.*?(?:-->|\Z)", " ", page[at : end.start() if end else len(page)])
+    words = len(re.sub(r"<[^>]*>", " ", inner).split())
+    return words < FORM_WORDS * (1 + len(FIELD.findall(inner)))
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; those of white space only are left out."""
-    # Open elements: (name, number, never, bad, good, names of ancestors and itself, inset).
-    stack: list[tuple] = [("", 0, False, False, False, frozenset(), False)]
+    # Open elements: (name, number, never, bad, good, names of ancestors and itself, inset, weak).
+    stack: list[tuple] = [("", 0, False, False, False, frozenset(), False, False)]
     made, now, out = 0, None, []
     raw: str | None = None
 
@@ -88,7 +108,7 @@ def blocks(page: str) -> list[Block]:
                     continue
                 home = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
                 top = stack[-1]
-                now = Block(home[1], home[0], top[2] or top[6], top[3], top[4], top[5])
+                now = Block(home[1], home[0], top[2] or top[6], top[3], top[7], top[4], top[5])
                 out.append(now)
             now.parts.append(m[4])
             if "a" in stack[-1][5]:
@@ -128,7 +148,7 @@ def blocks(page: str) -> list[Block]:
         up = stack[-1]
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)
         # A page's own header is no main text; an article's header holds its title.
-        never = up[2] or name in NEVER or bool(hidden) or attributes.get("role", "").lower() in ROLES or (name == "header" and not up[5] & {"article", "main"})
+        never = up[2] or name in NEVER or bool(hidden) or attributes.get("role", "").lower() in ROLES or (name == "header" and not up[5] & {"article", "main"}) or (name == "form" and is_form(page, at))
         # The root elements' labels say nothing about a block, and an article may be called a post with comments.
         bad = up[3] or (name not in ("body", "html", "article", "main") and bool(BAD.search(label)))
         inset = up[6]
@@ -143,22 +163,77 @@ def blocks(page: str) -> list[Block]:
         if m[3].endswith("/") and name in ("svg", "path", "circle", "rect", "use"):
             continue
         made += 1
-        stack.append((name, made, never, bad, up[4] or name in ("article", "main") or bool(GOOD.search(label)), up[5] | {name}, inset))
+        stack.append((name, made, never, bad, up[4] or name in ("article", "main") or bool(GOOD.search(label)), up[5] | {name}, inset, up[7] or (name not in ("body", "html", "article", "main") and bool(WEAK.search(label)))))
         if name in RAW:
             raw = name
     return [b for b in out if not "".join(b.parts).isspace()]
 
 
-def odds(b: Block, text: str) -> float:
-    """Log odds that the block is content."""
-    w = WEIGHTS
-    words = text.count(" ") + 1
+def features(b: Block, text: str) -> tuple[float, ...]:
     return (
-        w["bias"] + w["words"] * math.log1p(words) + w["linked"] * min(1.0, b.linked / max(1, len(text))) + w["sentence"] * bool(re.search(r"[.!?。…:;][\"'”»)]*(?:\s|$)", text))
-        + w["article"] * ("article" in b.inside) + w["main"] * ("main" in b.inside) + w["good"] * b.good + w["bad"] * b.bad + w["heading"] * (b.tag in ("h1", "h2", "h3", "h4")) + w["item"] * (b.tag == "li")
+        1.0, math.log1p(text.count(" ") + 1), min(1.0, b.linked / max(1, len(text))), float(bool(SENTENCE.search(text))), float("article" in b.inside), float("main" in b.inside),
+        float(b.good), float(b.bad), float(b.weak), float(b.tag in ("h1", "h2", "h3", "h4")), float(b.tag == "li"),
     )
 
 
+def labelled_pages() -> list[tuple[str, set[str]]]:
+    """Pages made from templates, each with the texts of its content blocks."""
+    r = random.Random(SEED)
+    word = lambda: "".join(r.choice("aaeeiioudfghlmnnprrsstt") for _ in range(r.randrange(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b)))
+    links = lambda a, b: "<ul>" + "".join(f"<li><a href=/x>{words(1, 4)}</a></li>" for _ in range(r.randrange(a, b))) + "</ul>"
+    box = lambda labels, body: f"<div{x}>{body}</div>" if (x := r.choice([f' class="{c}"' for c in labels] + [""])) else f"<div>{body}</div>"
+    out = []
+    for _ in range(PAGES):
+        content: set[str] = set()
+
+        def kept(text: str, into: set[str] = content) -> str:
+            into.add(text)
+            return text
+
+        def sentence() -> str:
+            return words(*r.choice([(4, 10), (10, 40), (40, 120)])) + r.choice([".", ".", ".", "!", "?", ""])
+
+        inner = f"<h1>{kept(words(3, 11))}</h1>"
+        for _ in range(r.randrange(2, 10)):
+            kind = r.random()
+            if kind < 0.7:
+                inner += f"<p>{kept(sentence())}</p>"
+            elif kind < 0.8:
+                inner += f"<h2>{kept(words(2, 7))}</h2>"
+            elif kind < 0.9:
+                inner += "<ul>" + "".join(f"<li>{kept(words(3, 16))}</li>" for _ in range(r.randrange(2, 6))) + "</ul>"
+            else:
+                inner += r.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<p class=legal>{}</p>"]).format(kept(sentence()))
+        place = r.choice(["<article>{}</article>"] * 4 + ["<main>{}</main>", "<main><article>{}</article></main>", "<div class=content>{}</div>", "<div class=entry-content>{}</div>", "<div id=main>{}</div>", "<div>{}</div>"])
+        around = [
+            box(["menu", "navbar", "links"], links(4, 12)), box(["tagline"], words(3, 9)), box(["ad", "promo", "sponsored", "banner"], f"{words(4, 20)}."), box(["sidebar", "widget"], f"<h3>{words(1, 4)}</h3>{links(2, 8)}{words(2, 9)}"),
+            f"<div class={r.choice(['comments', 'comment-list', 'replies'])}>" + "".join(f"<p>{words(5, 60)}.</p>" for _ in range(r.randrange(1, 5))) + "</div>",
+            box(["footer", "copyright", "legal"], f"(c) {words(3, 14)}"), box(["related", "recommended"], links(3, 9)), box(["login", "search", "share"], words(1, 6)),
+        ]
+        r.shuffle(around)
+        cut = r.randrange(len(around) + 1)
+        out.append((f"<body>{''.join(around[:cut])}{place.format(inner)}{''.join(around[cut:])}</body>", content))
+    return out
+
+
+@lru_cache(1)
+def fitted() -> tuple[float, ...]:
+    """The classifier's weights: a penalised logistic regression by Newton's method."""
+    rows = [(features(b, t), t in content) for page, content in labelled_pages() for b in blocks(page) if (t := b.text()) and not b.never]
+    x, y = np.array([f for f, _ in rows]), np.array([float(c) for _, c in rows])
+    w = np.zeros(len(FEATURES))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+    return tuple(float(v) for v in w)
+
+
+def odds(b: Block, text: str, weights: tuple[float, ...]) -> float:
+    """Log odds that the block is content."""
+    return sum(w * f for w, f in zip(weights, features(b, text), strict=True))
+
+
 class Flow:
     """Maximum flow by shortest augmenting levels."""
 
@@ -216,13 +291,13 @@ class Flow:
         return [v >= 0 for v in level]
 
 
-def label(found: list[Block], texts: list[str]) -> list[bool]:
+def label(found: list[Block], texts: list[str], weights: tuple[float, ...]) -> list[bool]:
     """Whether each block is content: the source side of the minimum cut."""
     n = len(found)
     if not n:
         return []
     # Where every block leans the same way the cut is empty, and smoothness edges carry nothing.
-    lean = [-NEVER_COST if b.never else odds(b, t) for b, t in zip(found, texts, strict=True)]
+    lean = [-NEVER_COST if b.never else odds(b, t, weights) for b, t in zip(found, texts, strict=True)]
     if all(x > 0 for x in lean) or all(x <= 0 for x in lean):
         return [x > 0 for x in lean]
     places: dict[int, int] = {}
@@ -238,19 +313,20 @@ def label(found: list[Block], texts: list[str]) -> list[bool]:
     return flow.source_side(n, n + 1)[:n]
 
 
-def main_text(page: str | None) -> str:
-    """The page's content blocks in order, two line ends between them."""
+def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
+    """The page's content blocks in order, two line ends between them. weights: the classifier's, fitted ones if left out."""
     found = [(b, t) for b in blocks(page or "") if (t := b.text())]
-    labels = label([b for b, _ in found], [t for _, t in found])
+    labels = label([b for b, _ in found], [t for _, t in found], weights or fitted())
     return "\n\n".join(t for (_, t), good in zip(found, labels, strict=True) if good)
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """page_id, url, the main text and its length in code points."""
+    weights = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column("html")]
+            texts = [main_text(x.as_py(), weights) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", text, n_chars])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(page).alias("html"))
