@@ -6,14 +6,17 @@ running window. Of equal conversations the one with the least conv_id stays, and
 equal a proper prefix of a longer one. Only then is text gathered and rendered. Prefixes are made distinct before the
 join, so a first turn that a third of all conversations share is one row.
 
+A turn marker inside a role or text is broken by a backslash (one more, where some stand there), and line ends and backslashes of roles are
+escaped, so no text forges a turn and the rendered form can be read back.
+
 Defined cases: null roles and texts are the empty string where rendered, and differ from it where compared; turns that
 tie are ordered by role, then text; a null conv_id is a conversation of its own; an empty table gives an empty table. A conversation
-is one row of output, so its turns meet in one task.
+is one row of output, so its turns meet in one task, however long; repeated rows are turns of their own; other columns play no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._shared import Cut
@@ -38,12 +41,18 @@ def maximal(conversations: DataFrame) -> DataFrame:
     return full.join(prefixes, ["n", "x", "y"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"))
 
 
+def _broken(x: Column) -> Column:
+    """x with one more backslash in each turn marker."""
+    return F.regexp_replace(x, r"<(\\*)\|im_(start|end)\|>", r"<$1\\|im_$2|>")
+
+
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns and the rendered text of each maximal conversation."""
     kept = maximal(conversations).withColumnRenamed("conv_id", "kept_id")
     turns = _turns(conversations)
     rows = turns.join(kept, turns.conv_id.eqNullSafe(F.col("kept_id")))
-    line = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
+    role = F.replace(F.replace(F.coalesce("role", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    line = F.concat(F.lit("<|im_start|>"), _broken(role), F.lit("\n"), _broken(F.coalesce("text", F.lit(""))), F.lit("<|im_end|>\n"))
     said = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
     return rows.groupBy("conv_id", "n_turns").agg(F.array_join(F.transform(said, lambda s: s["line"]), "").alias("rendered"))
 
@@ -52,12 +61,15 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP3_SQL = """
+OP3_SQL = r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
-                  count(*) OVER (PARTITION BY conv_id) AS n_turns,
-                  '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line FROM conversations),
-     p AS (SELECT conv_id, n, n_turns, string_agg(line, '' ORDER BY n) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said FROM t),
-     f AS (SELECT said, n_turns, min(conv_id) AS conv_id FROM p WHERE n = n_turns GROUP BY said, n_turns)
-SELECT f.conv_id, f.n_turns, f.said AS rendered FROM f
+                  count(*) OVER (PARTITION BY conv_id) AS n_turns, coalesce(replace(replace(role, '\', '\\'), chr(10), '\n'), '') AS r, coalesce(text, '') AS x,
+                  coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') AS said FROM conversations),
+     l AS (SELECT *, '<|im_start|>' || regexp_replace(r, '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g') || chr(10)
+                     || regexp_replace(x, '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g') || '<|im_end|>' || chr(10) AS line FROM t),
+     p AS (SELECT conv_id, n, n_turns, string_agg(said, '') OVER w AS said, string_agg(line, '') OVER w AS rendered FROM l
+           WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     f AS (SELECT said, n_turns, min(conv_id) AS conv_id, min(rendered) AS rendered FROM p WHERE n = n_turns GROUP BY said, n_turns)
+SELECT f.conv_id, f.n_turns, f.rendered FROM f
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.n_turns AND p.n = f.n_turns AND p.said = f.said)
 """
