@@ -9,7 +9,8 @@ the work is linear, and the only chain of compatible tokens over a text is its B
 Decoding: all tokens' bytes lie in one buffer; a table of offsets gives each id's place, and a text is gathered in one step.
 
 Defined cases: null is the empty text, which has no ids; the special token's string in a text is its id, as in the
-library; repeated rows and null doc_ids are rows of their own.
+library; a very long text is encoded whole; repeated rows and null doc_ids are rows of their own; other columns play no part; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations

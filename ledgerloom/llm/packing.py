@@ -9,7 +9,7 @@ Stage one is written to the shared folder before its leftovers are merged, so a
 tasks only, and sequence ids, which are made of the task's number, stay as written.
 
 Defined cases: null is the empty text, which still has its end id; any number of ids is cut as it needs; repeated rows and
-null doc_ids are documents of their own; an empty table gives an empty table.
+null doc_ids are documents of their own; other columns play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations

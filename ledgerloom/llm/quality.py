@@ -13,8 +13,8 @@ sums behind the references.
 
 Defined cases: null texts have no words and fail the base rules; a language without a list of common words has a reference of
 its own from LEAST_TEXTS distinct texts on and no class comparison below that, and no common words to compare; texts of a null or empty
-language are taken as two languages, by whether most of their characters are ASCII; repeated rows are scored alike; an empty table gives an empty table;
-columns of docs are never overwritten.
+language are taken as two languages, by whether most of their characters are ASCII; repeated rows are scored alike; a very long text is one value, judged whole; an empty table
+gives an empty table; columns of docs, whatever their names, are never overwritten.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import Cut, digest, free_name
+from ledgerloom.llm._shared import Cut, digest, free_name, own
 
 # Frequent function words of each known language.
 COMMON = {
@@ -53,8 +53,8 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", at: str =
     """docs and a struct column `at`: the base figures, the counts of character classes and of common words, the language, and the text's digest. windows: whether repeated windows are counted."""
     t = F.coalesce(F.col(text), F.lit(""))
     chain = [("words", SPACE), ("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"), ("sign", r"[\x21-\x7E]+")]
-    own = ("tongue", "list", "word_list", "hits", "one", "two", "four", "eight", "in_order", "places", "repeats")
-    c = {n: free_name(docs.columns, f"left_{n}") for n, _ in chain} | {n: free_name(docs.columns, n) for n in own}
+    more = ("tongue", "list", "word_list", "hits", "one", "two", "four", "eight", "in_order", "places", "repeats")
+    c = {n: free_name(docs.columns, f"left_{n}") for n, _ in chain} | {n: free_name(docs.columns, n) for n in more}
     out, left = docs, t
     for n, pattern in chain:  # each class is what its pattern takes off the text that the ones before it left
         out = out.withColumn(c[n], F.regexp_replace(left, pattern, ""))
@@ -90,7 +90,7 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", at: str =
         out = out.withColumn(c["repeats"], F.array_sort(F.filter(c["places"], lambda i: i.isNotNull())))
         covered = F.aggregate(F.transform(c["repeats"], lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(c["repeats"]), k + 1), i + WINDOW) - i)), F.lit(0), lambda x, y: x + y)
         fields += [(F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")]
-    return out.withColumn(at, F.struct(*fields)).select(*docs.columns, at)
+    return out.withColumn(at, F.struct(*fields)).select(*own(docs), at)
 
 
 def _total(x: Column) -> Column:
@@ -151,7 +151,7 @@ def references(featured: DataFrame, at: str = "features") -> DataFrame:
 
 def judge(featured: DataFrame, refs: DataFrame, f: str = "features", at: str = "quality") -> DataFrame:
     """featured with a struct column `at` in place of the features: base figures, both distances (null below their lengths), base_failed and kept."""
-    names = [x for x in featured.columns if x != f]
+    names = [c for c, x in zip(own(featured), featured.columns, strict=True) if x != f]
     r, t, m = (free_name(featured.columns, x) for x in ("reference", "ref_tongue", "measured"))
     # One row for each language.
     ref_row = F.broadcast(refs.select(F.col("tongue").alias(t), F.struct("class_ref", "word_ref").alias(r)))
@@ -175,7 +175,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     """
     f, at = free_name(docs.columns, "features"), free_name(docs.columns, "quality")
     featured = Cut(features(docs, text, lang, f), "featured").df
-    return judge(featured, references(featured, f), f, at).filter(F.col(f"{at}.kept")).select(*docs.columns)
+    return judge(featured, references(featured, f), f, at).filter(F.col(f"{at}.kept")).select(*own(docs))
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

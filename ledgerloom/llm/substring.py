@@ -4,14 +4,15 @@ A window is 35 consecutive words of one text. Its minimiser is the least hash am
 have equal minimisers, and consecutive windows that share one occurrence of theirs form a super-k-mer. Minimisers that start at one place
 only can't belong to a repeated window: they are counted first, as narrow rows, and only the super-k-mers of the others
 travel, each as one packed string, to the bucket of their minimiser, where sorting their windows counts them exactly.
-Buckets of a minimiser with more than HOT super-k-mers are not gathered: equal super-k-mers of theirs count once and their
-windows are counted by 128-bit fingerprints, in aggregations that combine on the map side, so that a passage that a third
-of all texts share spreads over all tasks.
+A hot bucket, of a minimiser with more than HOT super-k-mers, is split: equal super-k-mers of it count once, and their windows go
+by their own 128-bit fingerprints instead of by the minimiser, in aggregations that combine on the map side, so that a
+passage that a third of all texts share spreads over all tasks. HOT sets who counts a window, not whether it is counted.
 
 A text that occurs in several rows is handled once; all its windows occur elsewhere, so from 35 words on it loses all words.
 
 Defined cases: null texts have no words; texts of fewer than 35 words lose none; null and repeated doc_ids are
-rows of their own; an empty table gives an empty table; other columns play no part.
+rows of their own; a very long text is scanned like any other, and packed in pieces as long as its super-k-mers; an empty table gives
+an empty table; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import Cut, digest, free_name
+from ledgerloom.llm._shared import Cut, digest, free_name, own
 from ledgerloom.llm._words import U, Words, slices
 
 WINDOW = 35
@@ -169,11 +170,12 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     found = Cut(scanned.withColumn("rid", F.monotonically_increasing_id()), "grams")
     grams = found.df.filter("size(grams) > 0").select("rid", "key", F.inline("grams"))
     place = F.xxhash64("key", "at")
-    repeated = grams.groupBy("mini").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("mini")
-    travel = Cut(grams.drop("key").join(repeated, "mini", "left_semi"), "travel")
+    # Written, so that the joins with them deal out both sides anew and Spark can split a minimiser or text that many rows hold.
+    repeated = Cut(grams.groupBy("mini").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("mini"), "repeated")
+    travel = Cut(grams.drop("key").join(repeated.small("mini"), "mini", "left_semi"), "travel")
     rows = found.df.select("doc_id", "key", "n_words", "kept_sha256")
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "key")
+    copies = Cut(rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    rows = rows.join(copies.small("key", "copies"), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     hot = Cut(travel.df.groupBy("mini").count().filter(F.col("count") > HOT).select("mini", F.lit(True).alias("hot")), "hot")
     flagged = travel.df.join(hot.small("mini", "hot"), "mini", "left")
     lists = flagged.groupBy("rid").agg(
@@ -221,7 +223,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     verdict = Cut(changed.select("key", "kept").join(gone.select("key"), "key", "left_anti").unionByName(gone), "stripped")
     k, kept = (free_name(docs.columns, x) for x in ("key", "kept"))
     joined_rows = docs.withColumn(k, digest(F.col(text))).join(verdict.df.withColumnsRenamed({"key": k, "kept": kept}), k, "left")
-    return joined_rows.withColumn(text, F.coalesce(F.col(kept), F.col(text))).select(*docs.columns)
+    return joined_rows.withColumn(text, F.coalesce(F.col(kept), F.col(text))).select(*own(docs))
 
 
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
