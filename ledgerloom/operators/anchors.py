@@ -22,6 +22,8 @@ PATTERNS = [
     ("commands", r"^\s*\$\s+.+$"),
     ("user_pins", r"(^|\W)(MUST NOT|MUST|SHALL NOT|SHOULD NOT|DO NOT|DON'T|NEVER|ALWAYS|REQUIRED)(\W|$)"),
     ("user_pins", r"(?i)^(please\s+)?(must not|must|do not|don't|never|always|avoid)(\W|$)"),
+    ("user_pins", r"(務必|必須|必需|不可|不得|禁止|切勿|请勿|請勿)"),
+    ("user_pins", r"(?i)^(MUST:|CONSTRAINT:|約束:|Correction:|Latest correction:|更正:|修正:)"),
     ("deliverables", r"(?i)^ {0,3}([-*+]\s+|#{1,6}\s+)?(Q\d+|Question\s?\d+|Task\s?\d+)\s*[:.)]"),
 ]
 FILE = r"""(^|[\s"'`(])([\w.-]+/)+[\w.-]+\.[A-Za-z0-9]{1,8}(:\d+)?"""
@@ -41,13 +43,13 @@ OVERHEAD = 4
 def line_anchors(messages: DataFrame) -> DataFrame:
     """session, seq, line_no, kind, text: one row for each kind that a line belongs to. Pins come from users' lines that ask nothing."""
     kinds = list(dict.fromkeys(k for k, _ in PATTERNS))
-    line, asks = F.col("line"), F.col("line").rlike(r"[?？]\s*$")
+    asks = F.col("line").rlike(r"[?？]\s*$")
 
     def held(kind: str) -> Column:
         found = F.lit(False)
         for k, p in PATTERNS:
             if k == kind:
-                found = found | line.rlike(p)
+                found = found | (F.regexp_replace("line", r"^\s+|\s+$", "") if kind == "user_pins" else F.col("line")).rlike(p)
         return F.when(found & ((F.col("role") == "user") & ~asks if kind == "user_pins" else F.lit(True)), kind)
 
     rows = messages.select("session", "seq", "role", F.posexplode(lines(F.col("text"))).alias("i", "line"))
@@ -137,3 +139,67 @@ def unresolved(found: DataFrame, tracked: DataFrame) -> DataFrame:
     known = tracked.select("session", "label").distinct().withColumn("known", F.lit(True))
     per = items.groupBy("session", "label").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     return per.join(known, ["session", "label"], "left").filter("known is null or n > 1").select("session", "label", "n", "seq")
+
+
+def leading_labels(texts: DataFrame, column: str = "text") -> DataFrame:
+    """The labels that open a sentence, clause or line of each text, each once."""
+    found = F.transform(F.regexp_extract_all(column, F.lit(rf"(?i)(?:\A|[.!?:\n]+)[\s*.)\d-]*(Q\d+|Question\s?\d+|Task\s?\d+)(?![A-Za-z0-9_])"), 1), normal_label)
+    return texts.select("session", "seq", F.explode(F.array_distinct(found)).alias("label"))
+
+
+def pending(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """Whether the answer to each item (session, seq, label, marked, after) may still be outstanding, by the session's last answer (session, last_answer).
+
+    A marked item is outstanding until an answer after its barrier; any other if it is no older than the last answer. -1 is an unknown place.
+    """
+    last = F.col("last_answer")
+    marked = F.col("after").isNull() | (F.col("after") < 0) | last.isNull() | (last <= F.col("after"))
+    other = (F.col("seq") != -1) & last.isNotNull() & (F.col("seq") >= last)
+    return items.join(answers.select("session", "last_answer"), "session", "left").select("session", "seq", "label", F.when(F.col("marked"), marked).otherwise(F.coalesce(other, F.lit(False))).alias("pending"))
+
+
+def open_items(items: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Labels (session, seq, label, pending) at their first place that are pending, held twice, or not among those tracked (session, label)."""
+    known = tracked.select("session", "label").distinct().withColumn("known", F.lit(True))
+    per = items.groupBy("session", "label").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pending")).alias("first"))
+    return per.join(known, ["session", "label"], "left").filter("known is null or n > 1 or first.pending").select("session", "label", F.col("first.seq").alias("seq"))
+
+
+# The notes on items that a checkpoint, or a narrative, leaves out.
+UNRECONCILED = ": not reflected in completed or open by this checkpoint's own classification — verify whether it still needs an answer (machine-checked, see Anchors)"
+UNMENTIONED = ": not mentioned anywhere in this summary — verify whether it still needs an answer (machine-checked, see Anchors)"
+
+
+def notes(found: DataFrame, text: str, pointer: Column | None = None) -> DataFrame:
+    """A note on each open item (session, label, seq), with the address of its full text where there is one."""
+    where = F.lit("") if pointer is None else F.when(pointer.isNull(), "").otherwise(F.concat(F.lit(" — full text: "), pointer))
+    return found.select("session", "seq", F.concat(F.col("label"), F.lit(text), where).alias("note"))
+
+
+def reconciled(found: DataFrame, opened: DataFrame) -> DataFrame:
+    """Notes on the open items that their session's list of open work (session, label) doesn't name."""
+    return notes(found.join(opened.select("session", "label").distinct(), ["session", "label"], "left_anti"), UNRECONCILED)
+
+
+def retained_chronology(answers: DataFrame, spans: DataFrame) -> DataFrame:
+    """The last answer within each session's replaced span, and the later of it and the last one behind the span. answers: session, pos, seq, delivered."""
+    rows = answers.join(spans.select("session", "start", "end"), "session").filter("delivered")
+    inside = F.max(F.when(F.col("pos").between(F.col("start"), F.col("end")), F.col("seq")))
+    return rows.groupBy("session").agg(inside.alias("inside"), F.greatest(inside, F.max(F.when(F.col("pos") > F.col("end"), F.col("seq")))).alias("last_answer"))
+
+
+def by_kind(distinct: DataFrame) -> DataFrame:
+    """How many anchors of each kind a session holds, and the first place of one."""
+    return distinct.groupBy("session", "kind").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def verbatim(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """The anchors that stand word for word in the message that they are said to come from."""
+    return found.join(messages.select("session", "seq", F.col("text").alias("body")), ["session", "seq"]).filter(F.contains("body", F.col("text"))).select("session", "seq", "kind", "text")
+
+
+def cited(messages: DataFrame, refs: DataFrame) -> DataFrame:
+    """Addresses that messages cite: anchors where a claim in `refs` holds the content, else invented."""
+    rows = messages.select("session", "seq", F.explode(F.regexp_extract_all("text", F.lit("artifact://sha256/([0-9a-f]{64})"), 1)).alias("sha256"))
+    known = refs.select("sha256").distinct().withColumn("known", F.lit(True))
+    return rows.join(known, "sha256", "left").select("session", "seq", F.concat(F.lit("artifact://sha256/"), F.col("sha256")).alias("text"), F.coalesce("known", F.lit(False)).alias("resolved"))

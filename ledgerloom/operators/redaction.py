@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import entropy
 
-_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+# A word's bounds in ASCII: a word character stands inside them, whatever the class of the token's last characters.
+_B, _E = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", "(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 # Rules in order (name, the part before the secret, the secret), the address format, the sweep's token and threshold.
 RULES = [
     ("private_key", "", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
@@ -18,7 +19,7 @@ RULES = [
     ("bearer_header", r"(?i)^authorization:\s*bearer\s+", r'(?i)authorization:\s*bearer\s+[^\s"\\]+'),
 ]
 URI = "artifact://sha256/[0-9a-f]{64}"
-TOKEN = rf"{_B}[A-Za-z0-9+/_-]{{32,}}={{0,2}}{_E}"
+TOKEN = rf"{_B}[A-Za-z0-9+/_-]{{32,}}(?:={{1,2}}(?=[A-Za-z0-9_])|{_E})"
 BITS = 4.0
 REPORT = [
     ("personal path", r"(/home/[A-Za-z0-9_.-]+|/media/[A-Za-z0-9_.-]+|/Users/[A-Za-z0-9_.-]+|[A-Za-z]:[\\/]+Users[\\/]+[A-Za-z0-9_.-]+)"),
@@ -46,23 +47,76 @@ def _then(text: Column, step) -> Column:
     return F.element_at(F.transform(F.array(text), step), 1)
 
 
-def _rule(text: Column, name: str, before: str, pattern: str) -> Column:
-    whole = lambda m: marker(name, m)
-    after = lambda m: F.concat(F.regexp_extract(m, before, 0), marker(name, F.regexp_replace(m, before, "")))
-    return _then(text, lambda t: replace_each(t, pattern, after if before else whole))
+def _may(text: Column, name: str) -> Column:
+    """Whether a text can hold a match of the rule, by its literal part: a clean text costs a search for it."""
+    held = {"private_key": "-----BEGIN ", "aws_key": "AKIA", "jwt": "eyJ"}
+    if name in held:
+        return F.contains(text, F.lit(held[name]))
+    if name == "github_token":
+        return F.contains(text, F.lit("gh")) & text.rlike("gh[pousr]_")
+    return F.contains(F.lower(text), F.lit("sk-" if name == "api_key" else "authorization:"))
+
+
+def _new(name: str, before: str, m: Column) -> Column:
+    return F.concat(F.regexp_extract(m, before, 0), marker(name, F.regexp_replace(m, before, ""))) if before else marker(name, m)
+
+
+def _swept(m: Column) -> Column:
+    return ~m.startswith("artifact://") & (entropy(m) >= BITS)
+
+
+SWEEP = rf"{URI}(?![A-Za-z0-9+/_=-])|{TOKEN}"
+
+
+def _ruled(name: str, before: str, pattern: str):
+    return lambda t: F.when(_may(t, name), replace_each(t, pattern, lambda m: _new(name, before, m))).otherwise(t)
+
+
+def _put(name: str, before: str):
+    return lambda x, m: F.when(m.isNull(), x).otherwise(F.concat(x, _new(name, before, m)))
 
 
 def redact(text: Column) -> Column:
     out = text
     for rule in RULES:
-        out = _rule(out, *rule)
-    swept = rf"{URI}(?![A-Za-z0-9+/_=-])|{TOKEN}"
-    return _then(out, lambda t: replace_each(t, swept, lambda m: F.when(m.startswith("artifact://") | (entropy(m) < BITS), m).otherwise(marker("high_entropy", m))))
+        out = _then(out, _ruled(*rule))
+    return _then(out, lambda t: replace_each(t, SWEEP, lambda m: F.when(_swept(m), marker("high_entropy", m)).otherwise(m)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """doc_id, the redacted text, and its number of markers."""
-    return docs.select("doc_id", redact(F.col("text")).alias("text")).withColumn("hits", F.size(F.regexp_extract_all("text", F.lit(r"\[REDACTED:[a-z_]+:[0-9a-f]{4}\]"), 0)).cast("long"))
+    """doc_id, the redacted text, how many matches gave way, and how many of each rule."""
+    out = docs.select("doc_id", F.col("text").alias("t0"))
+    for i, (name, before, pattern) in enumerate(RULES):
+        t, may = F.col(f"t{i}"), F.coalesce(_may(F.col(f"t{i}"), name), F.lit(False))
+        out = out.withColumn(f"m{i}", F.when(may, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>")))
+        found = F.col(f"m{i}")
+        out = out.withColumn(f"t{i + 1}", F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split(t, pattern, -1), found, _put(name, before)), "")).otherwise(t))
+    last = F.col(f"t{len(RULES)}")
+    out = out.withColumn("tokens", F.transform(F.coalesce(F.regexp_extract_all(last, F.lit(SWEEP), 0), F.array().cast("array<string>")), lambda m: F.struct(m.alias("m"), _swept(m).alias("hit"))))
+    put = F.array_join(F.zip_with(F.split(last, SWEEP, -1), "tokens", lambda x, m: F.when(m.isNull(), x).otherwise(F.concat(x, F.when(m["hit"], marker("high_entropy", m["m"])).otherwise(m["m"])))), "")
+    counts = [(name, F.size(f"m{i}")) for i, (name, _, _) in enumerate(RULES)] + [("high_entropy", F.size(F.filter("tokens", lambda m: m["hit"])))]
+    total = sum((n for _, n in counts), F.lit(0)).cast("long")
+    return out.select("doc_id", F.when(F.size("tokens") > 0, put).otherwise(last).alias("text"), total.alias("hits"), F.struct(*[n.cast("long").alias(k) for k, n in counts]).alias("by_rule"))
+
+
+def hits_by_rule(docs: DataFrame) -> DataFrame:
+    """Matches of each rule over all texts, of the rules that have any."""
+    found = redacted(docs).select("by_rule")
+    names = [*[name for name, _, _ in RULES], "high_entropy"]
+    per = found.agg(*[F.coalesce(F.sum(f"by_rule.{n}"), F.lit(0)).alias(n) for n in names])
+    return per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("hits")) for n in names])).alias("x")).select("x.*").filter("hits > 0")
+
+
+def redacted_bytes(blobs: DataFrame) -> DataFrame:
+    """Contents (doc_id, body) redacted where they are text; others are unchanged."""
+    text = blobs.filter(F.is_valid_utf8(F.col("body").cast("string")))
+    done = redacted(text.select("doc_id", F.col("body").cast("string").alias("text")))
+    return done.select("doc_id", F.col("text").cast("binary").alias("body"), (F.col("hits") > 0).alias("redacted")).unionByName(blobs.filter(~F.is_valid_utf8(F.col("body").cast("string"))).select("doc_id", "body", F.lit(False).alias("redacted")))
+
+
+def committer_allowed(name: Column, email: Column, committer: bool) -> Column:
+    """Whether a commit's identity may be published: a user's no-reply address, or, as committer, the server's own."""
+    return F.endswith(email, F.lit("@users.noreply.github.com")) | (F.lit(committer) & (name == "GitHub") & (email == "noreply" + "@github.com"))
 
 
 def publication_report(docs: DataFrame) -> DataFrame:

@@ -63,10 +63,30 @@ def role_profile(surface: DataFrame) -> DataFrame:
     return surface.groupBy("role").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
 
 
-def resolve_budgets(grid: DataFrame) -> DataFrame:
-    """threshold and reserve of window, ratio, default_max, requested: integers, by floors."""
-    whole = lambda c: F.floor(c).cast("long")
-    w = grid.withColumn("reserve", F.greatest(whole(F.least("default_max", F.greatest(F.col("window") * 0.05, F.col("requested") * 2.0))), F.col("requested")))
-    w = w.withColumn("usable", F.col("window") - F.col("reserve")).withColumn("wanted", whole(F.col("window") * F.col("ratio")))
-    w = w.withColumn("threshold", F.least("wanted", "usable"))
-    return w.withColumn("feasible", F.col("usable") > 0).select("window", "ratio", "requested", "reserve", "threshold", "feasible")
+def price_check(surface: DataFrame) -> DataFrame:
+    """Each session's total, and whether its suffix sums may be reused: all prices and the total whole, not below zero, and exact as doubles."""
+    safe = (F.col("tokens") >= 0) & (F.col("tokens") <= 2**53 - 1)
+    per = surface.groupBy("session").agg(F.sum("tokens").alias("total"), F.bool_and(safe).alias("all_safe"))
+    return per.select("session", "total", (F.col("all_safe") & (F.col("total") <= 2**53 - 1)).alias("reusable"))
+
+
+def replaced(surface: DataFrame, spans: DataFrame, cost: int) -> DataFrame:
+    """The surface once each span gave way to one checkpoint of so many tokens, dense again, and its generation."""
+    rows = surface.select("session", "pos", "tokens").join(spans.select("session", "start", "end"), "session", "left")
+    inside = F.coalesce(F.col("pos").between(F.col("start"), F.col("end")), F.lit(False))
+    left = rows.filter(~inside | (F.col("pos") == F.col("start"))).withColumn("is_new", inside)
+    dense = F.row_number().over(_session().orderBy("pos")) - 1
+    return left.select("session", dense.cast("long").alias("pos"), F.when(F.col("is_new"), F.lit(cost).cast("long")).otherwise(F.col("tokens")).alias("tokens"), "is_new", F.when(F.col("start").isNull(), 0).otherwise(1).cast("long").alias("generation"))
+
+
+def stale(surface: DataFrame, measured: DataFrame) -> DataFrame:
+    """Sessions whose measurement (session, pos, seq) isn't of the surface as it stands."""
+    a, b = surface.select("session", "pos", F.col("seq").alias("a")), measured.select("session", "pos", F.col("seq").alias("b"))
+    return a.join(b, ["session", "pos"], "full").groupBy("session").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("stale"))
+
+
+def span_keys(surface: DataFrame, spans: DataFrame, policy: str) -> DataFrame:
+    """What identifies a session's span for repeated attempts: a digest of its places, prices and policy. A span's places meet in one row."""
+    rows = surface.join(spans.select("session", "start", "end"), "session").filter(F.col("pos").between(F.col("start"), F.col("end")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: F.concat_ws(":", x["pos"], x["tokens"])), ",")
+    return rows.groupBy("session").agg(F.sha2(F.concat(F.lit(policy + "|"), listed), 256).alias("key"))

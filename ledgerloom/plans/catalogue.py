@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators import artifacts as A
 from ledgerloom.operators import windows as W
-from ledgerloom.plans.sessions import CATALOGUE as MORE
+from ledgerloom.plans.log import CATALOGUE as LOG
+from ledgerloom.plans.sessions import CATALOGUE as SESSIONS
 from ledgerloom.sources.tables import REFS_SQL, SURFACE_SQL, references, surface, table
 from ledgerloom.streaming import state as S
 
@@ -23,13 +24,6 @@ L_ = """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN text LIKE '%'
  x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM l)"""
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    axis = lambda name, *v: spark.range(1).select(F.explode(F.array(*map(F.lit, v))).alias(name))
-    return axis("window", *[x * 1000 for x in (8, 32, 128)]).withColumn("ratio", F.explode(F.array(*map(F.lit, (0.5, 0.8, 0.95))))).withColumn("requested", F.explode(F.array(F.lit(512), F.lit(4096)))).withColumn("default_max", F.lit(8192)).select(
-        F.col("window").cast("long"), "ratio", F.col("requested").cast("long"), F.col("default_max").cast("long")
-    )
-
-
 def _docs(f: Callable[..., DataFrame], *a) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(table(spark, d, "documents"), *a)
 
@@ -71,12 +65,6 @@ SELECT *, open_calls = 0 AS balanced FROM b""",
         _surface(W.threshold_crossing, THRESHOLD),
         f"{S_}, p AS (SELECT session, pos, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY pos) AS BIGINT) AS pressure FROM s) SELECT session, min(pos) AS pos, min(pressure) AS pressure FROM p WHERE pressure >= {THRESHOLD} GROUP BY session",
     ),
-    "pol5_resolve_budgets": (
-        lambda spark, d: W.resolve_budgets(_grid(spark)),
-        """WITH g AS (SELECT CAST(w AS BIGINT) AS "window", CAST(r AS DOUBLE) AS ratio, CAST(q AS BIGINT) AS requested FROM (VALUES (8000), (32000), (128000)) a(w), (VALUES (0.5), (0.8), (0.95)) b(r), (VALUES (512), (4096)) c(q)),
- h AS (SELECT *, greatest(CAST(floor(least(8192, greatest("window" * CAST(0.05 AS DOUBLE), requested * CAST(2 AS DOUBLE)))) AS BIGINT), requested) AS reserve FROM g)
-SELECT "window", ratio, requested, reserve, least(CAST(floor("window" * ratio) AS BIGINT), "window" - reserve) AS threshold, "window" - reserve > 0 AS feasible FROM h""",
-    ),
     "src2_last_turns": (_surface(W.last_turns), f"{S_} SELECT session, max(pos) AS turn, arg_max(role, pos) AS role, arg_max(role, pos) = 'user' AS open_turn FROM s GROUP BY session"),
     "src_role_profile": (_surface(W.role_profile), f"{S_} SELECT role, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS largest FROM s GROUP BY role"),
     "txt5_split_lines": (_docs(A.split_lines), f"{L_} SELECT doc_id, line_no, line FROM x"),
@@ -89,7 +77,8 @@ SELECT doc_id, s + 1 AS line_start, CAST(least(s + 8, len(l)) AS BIGINT) AS line
     "art2_read_lines": (_docs(A.read_lines, 2, 4), f"{L_} SELECT doc_id, array_to_string(l[2:4], chr(10)) AS slice, CAST(len(l[2:4]) AS BIGINT) AS n_lines FROM l"),
     "art3_grep_context": (
         _docs(A.grep, "token", 1),
-        f"""{L_} SELECT x.doc_id, x.line_no, array_to_string(l.l[greatest(x.line_no - 1, 1):x.line_no + 1], chr(10)) AS context FROM x JOIN l ON x.doc_id = l.doc_id WHERE contains(x.line, 'token')""",
+        f"""{L_}, h AS (SELECT x.doc_id, x.line_no, l.l, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.line_no) AS k FROM x JOIN l ON x.doc_id = l.doc_id WHERE contains(x.line, 'token'))
+SELECT doc_id, line_no, greatest(line_no - 1, 1) AS line_start, least(line_no + 1, CAST(len(l) AS BIGINT)) AS line_end, array_to_string(l[greatest(line_no - 1, 1):line_no + 1], chr(10)) AS context FROM h WHERE k <= 50""",
     ),
     "enc8_content_address": (
         _docs(A.content_address),
@@ -111,10 +100,9 @@ SELECT doc_id, token, round(bits, 6) AS bits, bits >= 4.0 AS redacted FROM e""",
     "txt14_escape_newlines": (_docs(lambda d: d.select("doc_id", F.sha2(T.escape_newlines(F.col("text")), 256).alias("sha256"))), "SELECT doc_id, sha256(replace(replace(text, '\\', '\\\\'), chr(10), '\\n')) AS sha256 FROM documents"),
     "acl2_visible_refs": (_refs(A.visible, "t1", "confidential", 200), f"{R_} SELECT * FROM r WHERE tenant = 't1' AND retain_until > 200 AND list_position(['public', 'internal', 'confidential', 'secret'], label) <= 3"),
     "acl3_effective_label": (
-        _refs(A.effective_label),
-        f"{R_} SELECT tenant, sha256, ['public', 'internal', 'confidential', 'secret'][max(list_position(['public', 'internal', 'confidential', 'secret'], label))] AS label, count(*) AS claims FROM r GROUP BY tenant, sha256",
+        _refs(A.effective_label, "t1", "confidential", 200),
+        f"{R_} SELECT sha256, ['public', 'internal', 'confidential', 'secret'][max(list_position(['public', 'internal', 'confidential', 'secret'], label))] AS label, count(*) AS claims FROM r WHERE tenant = 't1' AND retain_until > 200 AND list_position(['public', 'internal', 'confidential', 'secret'], label) <= 3 GROUP BY sha256",
     ),
-    "lif3_sweep": (_refs(A.sweep, 500), f"{R_} SELECT sha256, count(*) AS claims FROM r GROUP BY sha256 HAVING max(retain_until) <= 500"),
     "str1_hysteresis": (
         lambda spark, d: S.hysteresis(table(spark, d, "events"), 60.0, 20.0),
         """WITH m AS (SELECT event_id, user_id, ts, CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END AS mark FROM events)
@@ -125,8 +113,8 @@ SELECT event_id, user_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for k, (q, _) in (_CATALOGUE | MORE).items()}
+    return {k: q for k, (q, _) in (_CATALOGUE | SESSIONS | LOG).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in (_CATALOGUE | MORE).items()}
+    return {k: s for k, (_, s) in (_CATALOGUE | SESSIONS | LOG).items() if s}

@@ -15,7 +15,7 @@ _q = lambda s: "'" + s.replace("'", "''") + "'"
 _PATTERNS = ", ".join(f"({_q(k)}, {_q(p)})" for k, p in N.PATTERNS)
 D_ = f"""WITH d AS ({T.DRAFTS_SQL}), l0 AS (SELECT session, seq, role, string_split(text, chr(10)) AS l FROM d), l AS (SELECT session, seq, role, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM l0),
  p(kind, re) AS (VALUES {_PATTERNS}),
- marked AS (SELECT DISTINCT session, seq, line_no, kind, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text FROM l, p WHERE regexp_matches(line, re) AND (kind <> 'user_pins' OR (role = 'user' AND NOT regexp_matches(line, '[?？]\\s*$')))),
+ marked AS (SELECT DISTINCT session, seq, line_no, kind, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text FROM l, p WHERE regexp_matches(CASE kind WHEN 'user_pins' THEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') ELSE line END, re) AND (kind <> 'user_pins' OR (role = 'user' AND NOT regexp_matches(line, '[?？]\\s*$')))),
  files AS (SELECT session, seq, line_no, 'files' AS kind, regexp_replace(m, '^[\\s"''`(]', '') AS text FROM (SELECT session, seq, line_no, unnest(regexp_extract_all(line, {_q(N.FILE)})) AS m FROM l)),
  a AS (SELECT * FROM marked UNION ALL SELECT * FROM files),
  u AS (SELECT session, kind, text, CASE WHEN kind = 'user_pins' THEN max(seq) ELSE min(seq) END AS seq, count(*) AS seen FROM a GROUP BY session, kind, text, CASE WHEN kind = 'deliverables' THEN seq ELSE -1 END)"""
@@ -54,19 +54,22 @@ def _hashed(df):
 
 def _redact_sql() -> str:
     """The rules one after another, in RE2, which has no look-around."""
-    steps, last = [f"x0 AS ({T.SECRETS_SQL})"], "x0"
+    steps, last = [f"x0 AS (SELECT doc_id, text, 0 AS h FROM ({T.SECRETS_SQL}))"], "x0"
     for i, (name, before, pattern) in enumerate(R.RULES, 1):
         re = _q(pattern.replace(R._B, r"\b").replace(R._E, r"\b"))
+        hit = f"len(regexp_extract_all(text, {re}))"
         secret = f"regexp_replace(m, {_q(before)}, '')" if before else "m"
         kept = f"regexp_extract(m, {_q(before)})" if before else "''"
         new = f"concat({kept}, '[REDACTED:{name}:', substr(sha256({secret}), 1, 4), ']')"
-        steps.append(f"x{i} AS (SELECT doc_id, {_zip(re, new)} AS text FROM {last})")
+        steps.append(f"x{i} AS (SELECT doc_id, {_zip(re, new)} AS text, h + {hit} AS h FROM {last})")
         last = f"x{i}"
-    token = R.TOKEN.replace(R._B, r"\b").replace(R._E, r"\b")
+    token = r"\b[A-Za-z0-9+/_-]{32,}={0,2}\b"
     chars = "string_split(m, '')"
     bits = f"list_sum(list_transform(list_distinct({chars}), lambda c: -(len(list_filter({chars}, lambda y: y = c)) / length(m)) * log2(len(list_filter({chars}, lambda y: y = c)) / length(m))))"
-    swept = f"SELECT doc_id, {_zip(_q(R.URI + '|' + token), f'CASE WHEN starts_with(m, {_q("artifact://")}) OR {bits} < 4.0 THEN m ELSE concat({_q("[REDACTED:high_entropy:")}, substr(sha256(m), 1, 4), {_q("]")}) END')} AS text FROM {last}"
-    return f"WITH {', '.join(steps)}, s AS ({swept}) SELECT doc_id, CAST(len(regexp_extract_all(text, '\\[REDACTED:[a-z_]+:[0-9a-f]{{4}}\\]')) AS BIGINT) AS hits, sha256(text) AS sha256 FROM s"
+    re = _q(R.URI + "|" + token)
+    safe = f"starts_with(m, {_q('artifact://')}) OR {bits} < 4.0"
+    new = f"CASE WHEN {safe} THEN m ELSE concat({_q('[REDACTED:high_entropy:')}, substr(sha256(m), 1, 4), {_q(']')}) END"
+    return f"WITH {', '.join(steps)} SELECT doc_id, CAST(h + len(list_filter(regexp_extract_all(text, {re}), lambda m: NOT ({safe}))) AS BIGINT) AS hits, sha256({_zip(re, new)}) AS sha256 FROM {last}"
 
 
 def _zip(re: str, new: str) -> str:
@@ -93,13 +96,13 @@ SELECT session, found, o.u AS used, CAST(len(o.k) AS BIGINT) AS n_kept, array_to
  i AS (SELECT session, {_NORMAL.format(f"regexp_extract(text, {_q(N.LABEL)}, 2)")} AS label, count(*) AS n, min(seq) AS seq FROM marked WHERE kind = 'deliverables' GROUP BY ALL)
 SELECT i.session, i.label, n, seq FROM i LEFT JOIN t ON i.session = t.session AND i.label = t.label WHERE t.label IS NULL OR n > 1""",
     ),
-    "red1_redact": (_on(T.secrets, lambda df: _hashed(R.redacted(df))), _redact_sql()),
+    "red1_redact": (_on(T.secrets, lambda df: _hashed(R.redacted(df).drop("by_rule"))), _redact_sql()),
     "red11_publication_report": (_on(T.secrets, R.publication_report), f"WITH s AS ({T.SECRETS_SQL}), p(rule, re) AS (VALUES {', '.join(f'({_q(n)}, {_q(p)})' for n, p in R.REPORT)}) SELECT doc_id, rule FROM s, p WHERE regexp_matches(text, re)"),
     "uri2_found": (_on(T.cited, A.uris), f"WITH c AS ({T.CITED_SQL}) SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'artifact://sha256/([0-9a-f]{{64}})', 1))) AS sha256 FROM c"),
     "uri3_scrubbed": (
         lambda spark, d: _hashed(A.scrubbed(T.cited(spark, d), A.visible(T.references(spark, d), "t1", "confidential", 200))),
         f"""WITH c AS ({T.CITED_SQL}), {_R}, v AS (SELECT list(DISTINCT sha256) AS known FROM r WHERE tenant = 't1' AND retain_until > 200 AND list_position({_L}, label) <= 3)
-SELECT doc_id, sha256({_zip("'artifact://sha256/[0-9a-f]{64}'", "CASE WHEN list_contains(known, substr(m, 19, 64)) THEN m ELSE '[unresolvable]' END")}) AS sha256 FROM c, v""",
+SELECT doc_id, sha256({_zip("'artifact://sha256/[0-9a-f]{64}'", "CASE WHEN list_contains(known, substr(m, 19, 64)) THEN m ELSE '(artifact reference removed: not readable from this session)' END")}) AS sha256 FROM c, v""",
     ),
     "acl4_authorized": (
         lambda spark, d: A.authorized(T.table(spark, d, "documents"), T.references(spark, d), "t1", "confidential", 200),
@@ -113,10 +116,11 @@ SELECT doc_id, sha256({_zip("'artifact://sha256/[0-9a-f]{64}'", "CASE WHEN list_
     "lif5_totals": (lambda spark, d: A.totals(T.table(spark, d, "documents")), "SELECT count(*) AS blobs, CAST(coalesce(sum(b), 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT sha256(text) AS s, octet_length(encode(text)) AS b FROM documents)"),
     "enc1_folded": (
         _on(T.runs, lambda df: _hashed(A.folded_all(df))),
-        f"""WITH t AS ({T.RUNS_SQL}), l0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM t WHERE NOT contains(text, '[repeat:v1 additional=')), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l0),
+        f"""WITH t AS ({T.RUNS_SQL}), l0 AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l FROM t WHERE NOT contains(text, '[adaptive-repeat:v1 additional=')), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l0),
  y AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS g FROM x), z AS (SELECT doc_id, min(i) AS i, line, count(*) AS n FROM y GROUP BY doc_id, line, g),
- w AS (SELECT *, concat('[repeat:v1 additional=', CAST(n - 1 AS STRING), ']') AS mark FROM z), v AS (SELECT *, n >= 4 AND (length(line) + 1) * (n - 1) > length(mark) + 32 AS worth FROM w)
-SELECT doc_id, CAST(sum(CAST(worth AS INT)) AS BIGINT) AS folds, sha256(string_agg(CASE WHEN worth THEN concat(line, chr(10), mark) ELSE concat(repeat(concat(line, chr(10)), n - 1), line) END, chr(10) ORDER BY i)) AS sha256 FROM v GROUP BY doc_id""",
+ w AS (SELECT *, concat('[adaptive-repeat:v1 additional=', CAST(n - 1 AS STRING), ']', chr(10)) AS mark FROM z), v AS (SELECT *, n >= 4 AND line LIKE '%' || chr(10) AND length(line) * (n - 1) > length(mark) + 32 AS worth FROM w),
+ f AS (SELECT doc_id, CAST(sum(CAST(worth AS INT)) AS BIGINT) AS folds, string_agg(CASE WHEN worth THEN concat(line, mark) ELSE repeat(line, n) END, '' ORDER BY i) AS text FROM v GROUP BY doc_id)
+SELECT t.doc_id, coalesce(folds, 0) AS folds, sha256(coalesce(f.text, t.text)) AS sha256 FROM t LEFT JOIN f ON t.doc_id = f.doc_id""",
     ),
     "enc2_round_trip": (_on(T.runs, lambda df: _hashed(A.unfolded(A.folded_all(df)))), f"WITH t AS ({T.RUNS_SQL}) SELECT doc_id, sha256(text) AS sha256 FROM t"),
     "enc5_payload_groups": (

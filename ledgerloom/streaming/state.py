@@ -1,18 +1,40 @@
-"""Hysteresis and replay control over an append-only event stream, as batch windows and as Structured Streaming."""
+"""Hysteresis, replay control, the pressure machine and signed events over append-only streams, each with its batch twin."""
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.policy import DECISION, STATE, Limits, State, decisions, stored
+
 
 def hysteresis(events: DataFrame, start: float, release: float) -> DataFrame:
-    """Whether each event finds its key's pressure on: it turns on at `start`, and off below `release`. The last event outside the band decides."""
+    """Whether each event finds its key's pressure on: it turns on at `start`, and off below `release`. The last event outside the band decides. For batches; `pressure_stream` is the machine over streams."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.when(F.col("value") >= start, True).when(F.col("value") < release, False)
     return events.select("event_id", "user_id", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)).alias("active"))
 
 
+def pressure_stream(measured: DataFrame, limits: Limits) -> DataFrame:
+    """The pressure machine's decisions over a stream of measurements, a state for each session. `ledgerloom.operators.policy.pressure_log` decides the same over a batch; a session's rows must arrive in order of their events, over micro-batches."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        none = lambda v: None if v is None or v != v else v
+        state = State(*map(none, held.get)) if held.exists else State()
+        rows = pd.concat(list(frames), ignore_index=True)
+        out = decisions(state, rows, limits)
+        held.update(stored(state))
+        yield out
+
+    return measured.groupBy("session").applyInPandasWithState(run, DECISION, STATE, "append", "NoTimeout")
+
+
 def replay_guard(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The first delivery of each (user, event); on a stream the state is dropped behind the watermark."""
     if events.isStreaming:
@@ -20,7 +42,50 @@ def replay_guard(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.dropDuplicates(["user_id", "event_id"])
 
 
+def admitted(deliveries: DataFrame, window: int) -> DataFrame:
+    """Whether each delivery (key, n: order of arrival, id, stamp, now) is admitted: its id must not have been admitted at a stamp that is at most `window` seconds before now.
+
+    A delivery that is refused doesn't renew the id. An id's deliveries are folded in one row.
+    """
+    per = deliveries.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("n", "stamp", "now"))).alias("d"))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<n:bigint,ok:boolean>>").alias("out"))
+
+    def step(acc, x):
+        ok = acc["at"].isNull() | (x["now"].cast("double") - acc["at"] > window)
+        return F.struct(F.when(ok, x["stamp"].cast("double")).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["n"].cast("long").alias("n"), ok.alias("ok")))).alias("out"))
+
+    done = per.select("key", "id", F.explode(F.aggregate("d", start, step, lambda a: a["out"])).alias("o"))
+    return done.select("key", "id", F.col("o.n").alias("n"), F.col("o.ok").alias("admitted"))
+
+
+def signature(event_id: str, stamp: str, body: str, secret: str) -> str:
+    """HMAC-SHA256 over the event's id and time stamp, each led by its length, and its body."""
+    text = f"{len(event_id)}:{event_id}.{len(stamp)}:{stamp}.{body}"
+    return hmac.new(secret.encode(), text.encode(), hashlib.sha256).hexdigest()
+
+
+def verified(events: DataFrame, secret: str, now: int, skew: int = 300) -> DataFrame:
+    """event_id and why a signed event (event_id, stamp, signature, body: strings) is refused: stale_timestamp (late or ahead), malformed_signature, bad_signature; null if it is good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [hmac.compare_digest(signature(r["event_id"], r["stamp"], r["body"], secret), r["signature"][3:].lower()) if r["ok"] else False for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("reason"), pa.array(good)], ["event_id", "reason", "good"])
+
+    number = F.when(F.trim("stamp") == "", F.lit(0.0)).otherwise(F.col("stamp").try_cast("double"))
+    reason = F.when(F.lit(secret == ""), "bad_signature").when(number.isNull(), "malformed_signature").when(F.abs(F.lit(now) - number) > skew, "stale_timestamp").when(~F.col("signature").rlike(r"\Av1=[0-9A-Fa-f]{64}\z"), "malformed_signature")
+    rows = events.select("event_id", "stamp", "signature", "body", reason.alias("reason"), reason.isNull().alias("ok"))
+    checked = rows.mapInArrow(run, "event_id string, reason string, good boolean")
+    return checked.select("event_id", F.coalesce("reason", F.when(~F.col("good"), "bad_signature")).alias("reason"))
+
+
 def pressure_windows(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events and their summed value for each user and time window; late events are dropped behind the watermark on a stream."""
     rows = events.withWatermark("ts", delay) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "user_id", "n", "total")
+
+
+def current(responses: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Responses (session, generation, ...) to the surface as it is still; those that it has moved on from go."""
+    now = surfaces.select("session", F.col("generation").alias("now"))
+    return responses.join(now, "session").filter(F.col("generation") == F.col("now")).drop("now")
