@@ -101,8 +101,8 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
     return lambda spark, d: f(B.table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
-def _value(c: Column) -> Callable[[SparkSession, str], DataFrame]:
-    return _docs(lambda x: x.select("doc_id", c.alias("value")))
+def _value(c: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    return _docs(lambda x: x.select("doc_id", c().alias("value")))
 
 
 def _hashed(df: DataFrame, column: str = "text") -> DataFrame:
@@ -253,9 +253,9 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS pos
     "sum6_grounded": (lambda spark, d: C.grounded(_documents(spark, d), ["a payload 1 of it", "payload 2"]), None),
     "sum7_summaries": (lambda spark, d: C.summaries(_documents(spark, d), M.messages(L.blocks(spark, d)), 100), None),
     "sum12_usage": (lambda spark, d: C.usage(_counters(spark, d)), f"SELECT session, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(reasoning) AS BIGINT) AS reasoning FROM ({COUNTERS}) GROUP BY session"),
-    "txt14_unescaped": (_value(F.sha2(T.unescape_newlines(T.escape_newlines(F.concat("text", F.lit("\\n\\\\\n")))), 256)), "SELECT doc_id, sha256(text || '\\n\\\\' || chr(10)) AS value FROM documents"),
-    "txt15_quoted": (_value(T.quoted(F.concat(F.lit("a.b*(c)[d]\\ ^$"), F.col("lang")))), "SELECT doc_id, 'a\\.b\\*\\(c\\)\\[d\\]\\\\ \\^\\$' || lang AS value FROM documents"),
-    "txt19_bullets": (_value(F.sha2(T.bullets(F.filter(F.slice(T.lines(F.col("text")), 1, 3), lambda x: F.length(x) > 100)), 256)), f"WITH {_LINES}, b AS (SELECT doc_id, list_filter(l[1:3], lambda x: length(x) > 100) AS l FROM l) SELECT doc_id, sha256(CASE WHEN len(l) = 0 THEN '- (none)' ELSE '- ' || array_to_string(l, chr(10) || '- ') END) AS value FROM b"),
+    "txt14_unescaped": (_value(lambda: F.sha2(T.unescape_newlines(T.escape_newlines(F.concat("text", F.lit("\\n\\\\\n")))), 256)), "SELECT doc_id, sha256(text || '\\n\\\\' || chr(10)) AS value FROM documents"),
+    "txt15_quoted": (_value(lambda: T.quoted(F.concat(F.lit("a.b*(c)[d]\\ ^$"), F.col("lang")))), "SELECT doc_id, 'a\\.b\\*\\(c\\)\\[d\\]\\\\ \\^\\$' || lang AS value FROM documents"),
+    "txt19_bullets": (_value(lambda: F.sha2(T.bullets(F.filter(F.slice(T.lines(F.col("text")), 1, 3), lambda x: F.length(x) > 100)), 256)), f"WITH {_LINES}, b AS (SELECT doc_id, list_filter(l[1:3], lambda x: length(x) > 100) AS l FROM l) SELECT doc_id, sha256(CASE WHEN len(l) = 0 THEN '- (none)' ELSE '- ' || array_to_string(l, chr(10) || '- ') END) AS value FROM b"),
     "uri1_addresses": (
         _docs(lambda x: x.select("doc_id", F.concat(T.address_of(F.sha2("text", 256)), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")).alias("u")).select("doc_id", T.is_address(F.col("u")).alias("is_address"), T.digest_of(F.col("u")).alias("digest"))),
         "SELECT doc_id, doc_id % 3 <> 0 AS is_address, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS digest FROM documents",
