@@ -6,7 +6,11 @@ declarative form; operators apply these functions to one session a call.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
+import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -495,3 +499,75 @@ def canonical(value) -> str:
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
         return str(int(value))
     return json.dumps(value, ensure_ascii=False)
+
+
+def redacted_text(text: str) -> tuple[str, int]:
+    """A text without credentials, and how many matches gave way: the same rules and sweep as the columns'."""
+    from ledgerloom.operators import redaction as R
+
+    hits = 0
+
+    def put(name: str, before: str, sure=None):
+        def new(m: re.Match) -> str:
+            nonlocal hits
+            if sure and not sure(m[0]):
+                return m[0]
+            hits += 1
+            head = re.match(before, m[0])[0] if before else ""
+            return f"{head}[REDACTED:{name}:{hashlib.sha256(m[0][len(head) :].encode()).hexdigest()[:4]}]"
+
+        return new
+
+    for name, before, pattern in R.RULES:
+        text = re.sub(pattern, put(name, before), text, flags=re.A)
+    return re.sub(R.SWEEP, put("high_entropy", "", lambda m: not m.startswith("artifact://") and bits(m) >= R.BITS), text, flags=re.A), hits
+
+
+def bits(token: str) -> float:
+    return -sum(token.count(c) / len(token) * math.log2(token.count(c) / len(token)) for c in set(token))
+
+
+def redacted_run(texts: list[str]) -> list[str]:
+    """The texts of adjacent blocks without credentials, also such as are cut over several; as many texts as before.
+
+    Where redacting each by itself doesn't do, what changed in the whole goes into the first block that it touches.
+    """
+    whole = "".join(texts)
+    new, hits = redacted_text(whole)
+    alone = [redacted_text(t)[0] for t in texts]
+    if not hits or "".join(alone) == new:
+        return alone if hits else texts
+    same = len(os.path.commonprefix([whole, new]))
+    back = len(os.path.commonprefix([whole[same:][::-1], new[same:][::-1]]))
+    stop, middle = len(whole) - back, new[same : len(new) - back]
+    out, at = [], 0
+    for t in texts:
+        a, at = at, at + len(t)
+        if not t or at <= same or a >= stop:
+            out.append(t)
+            continue
+        out.append(t[: max(0, same - a)] + middle + t[max(0, stop - a) :])
+        middle = ""
+    return out
+
+
+def redacted_leaves(value):
+    """A JSON value with every string in it redacted; keys stay."""
+    if isinstance(value, str):
+        return redacted_text(value)[0]
+    if isinstance(value, list):
+        return [redacted_leaves(x) for x in value]
+    return {k: redacted_leaves(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def holds(value, mark: str) -> bool:
+    """Whether any string of a JSON value holds the mark, or the texts of blocks that stand side by side do together."""
+    if isinstance(value, str):
+        return mark in value
+    if isinstance(value, dict):
+        return any(holds(x, mark) for x in value.values())
+    if not isinstance(value, list):
+        return False
+    texts = [x["text"] if isinstance(x, dict) and x.get("type") in ("text", "reasoning") and isinstance(x.get("text"), str) else None for x in value]
+    side_by_side = ["".join(g) for k, g in itertools.groupby(texts, lambda t: t is None) if not k]
+    return any(mark in t for t in side_by_side) or any(holds(x, mark) for x in value)

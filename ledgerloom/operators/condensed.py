@@ -5,6 +5,7 @@ A session's messages meet in one task, as its log does; documents are handled ro
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -155,3 +156,38 @@ def canonical(docs: DataFrame) -> DataFrame:
 def usage(parts: DataFrame) -> DataFrame:
     """Summed counters of each session's requests; one that no request has stays absent."""
     return parts.groupBy("session").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "reasoning")])
+
+
+def redacted_blocks(found: DataFrame) -> DataFrame:
+    """Messages as many blocks as before, without credentials: session, pos, ix, type, text. Runs of one type are redacted together, calls' arguments and tool output by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for session, pos, content in zip(*(batch.column(c).to_pylist() for c in ("session", "pos", "content")), strict=True):
+                alike = lambda b: b["type"] if b["type"] in M.VISIBLE else b["ix"]
+                for kind, group in itertools.groupby(content, alike):
+                    group = list(group)
+                    texts = [b["text"] or "" for b in group]
+                    done = C.redacted_run(texts) if kind in M.VISIBLE else [t if b["type"] == "image" else C.redacted_text(t)[0] for b, t in zip(group, texts, strict=True)]
+                    rows += [(session, pos, b["ix"], b["type"], t) for b, t in zip(group, done, strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)], ["session", "pos", "ix", "type", "text"])
+
+    return found.select("session", "pos", "content").mapInArrow(run, "session long, pos long, ix long, type string, text string")
+
+
+def redacted_json(docs: DataFrame) -> DataFrame:
+    """JSON texts with every string leaf redacted, in canonical form, and whether that changed one."""
+
+    def of(text: str) -> tuple:
+        value = json.loads(text)
+        done = C.redacted_leaves(value)
+        return C.canonical(done), done != value
+
+    return _rows(docs, "json string, changed boolean", of)
+
+
+def holding(docs: DataFrame, mark: str) -> DataFrame:
+    """Whether a JSON text holds a mark in a string or over adjacent blocks."""
+    return _rows(docs, "collision boolean", lambda text: (C.holds(json.loads(text), mark),))

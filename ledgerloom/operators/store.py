@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.artifacts import LABELS, rank, scrubbed, visible
@@ -149,3 +149,27 @@ def downgrade(taint: DataFrame, targets: DataFrame, local: list[str]) -> DataFra
 def with_provenance(text: Column, taint: Column) -> Column:
     """A summary that ends in the mark where its context is secret."""
     return F.when(taint, F.concat(text, F.lit("\n" + SECRET_MARK))).otherwise(text)
+
+
+CLAIM = "ref_id string, sha256 string, tenant string, session string, label string, redacted boolean, truncated boolean, original_sha256 string, original_bytes long, retain_until long"
+
+
+def add_claims(claims: DataFrame, path: str) -> None:
+    """Appends claims to the JSON lines at `path`, one folder for each first byte of a digest. A claim without an id gets a random one."""
+    rows = claims if "ref_id" in claims.columns else claims.withColumn("ref_id", F.uuid())
+    rows.withColumn("part", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("part").json(path)
+
+
+def read_claims(spark: SparkSession, path: str) -> DataFrame:
+    """The claims at `path`; none where nothing was written yet."""
+    return _read(spark, path, lambda: spark.read.schema(f"{CLAIM}, part string").json(path).drop("part"), CLAIM)
+
+
+def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """The digests and sizes of the contents that `artifacts.store` wrote to `path`; none where nothing was written yet. The contents themselves aren't read."""
+    return _read(spark, path, lambda: spark.read.parquet(path).select("sha256", "bytes"), "sha256 string, bytes long")
+
+
+def _read(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return read() if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else spark.createDataFrame([], schema)

@@ -132,6 +132,7 @@ _requests, REQUESTS = L.relation("SELECT concat('j', CAST(user_id % 7 AS STRING)
 _timings, TIMINGS = L.relation("SELECT event_type AS name, value AS baseline, CAST(event_id % 17 + 1 AS DOUBLE) AS candidate FROM {events} WHERE value > 0 AND event_id % 10 = 0")
 _counters, COUNTERS = L.relation("SELECT user_id AS session, event_id AS input_tokens, event_id % 5 AS output_tokens, CASE WHEN user_id % 2 = 0 THEN event_id % 3 END AS cache_read, CASE WHEN event_id % 2 = 0 AND user_id % 3 = 0 THEN CAST(4 AS BIGINT) END AS reasoning FROM {events}")
 _json, JSON = L.relation("""SELECT doc_id, concat('{"b": ', CAST(doc_id AS STRING), ', "a": [1, {"z": "', lang, '", "y": null}], "é": true}') AS text FROM {documents}""")
+_secret_json, _SECRET_JSON = L.relation("""SELECT doc_id, concat('{"name":"t', CAST(doc_id % 3 AS STRING), '","args":[{"key":"sk-', repeat('a1', CAST(8 + doc_id % 5 AS INT)), '"},', CAST(doc_id AS STRING), ',null]}') AS text FROM {documents}""")
 _documents, _DOCUMENTS = L.relation(
     """SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN concat('here: ```json', chr(10)) ELSE 'so ' END, '{"schema_version":', CASE doc_id % 7 WHEN 0 THEN '2' ELSE '1' END, ',"task_state":{"goal":"', CASE doc_id % 3 WHEN 0 THEN '' ELSE 'goal' END, '","open":["Q1: later",', CASE doc_id % 5 WHEN 0 THEN '3' ELSE '"Q2 { x"' END,
  ']},"files":[{"path":"a.py","artifact":"payload ', CAST(doc_id % 4 AS STRING), '"}],"tests":', CASE doc_id % 11 WHEN 0 THEN '"no list"' ELSE '[{"command":"t","failing":["f"]}]' END, CASE doc_id % 6 WHEN 0 THEN '' ELSE '}' END, CASE doc_id % 4 WHEN 0 THEN concat(chr(10), '```') ELSE ' end' END) AS text FROM {documents}"""
@@ -303,6 +304,9 @@ SELECT d.doc_id, coalesce(n, 0) AS hits, CASE WHEN n IS NULL THEN 'no matches' E
     "snk5_spilled": (_messages(lambda m: S.spilled(C.checkpoints(m, 40).filter("overflow <> ''").select("session", F.col("overflow").alias("text")), 200, False)), None),
     "red4_bytes": (lambda spark, d: R.redacted_bytes(blobs(spark, d)).select("doc_id", F.sha2("body", 256).alias("sha256"), "redacted"), None),
     "red10_hits": (lambda spark, d: R.hits_by_rule(B.secrets(spark, d)), None),
+    "red7_blocks": (_messages(C.redacted_blocks), None),
+    "red8_json_leaves": (lambda spark, d: C.redacted_json(_secret_json(spark, d)), None),
+    "enc7_collisions": (lambda spark, d: C.holding(_json(spark, d), '"z'), "SELECT doc_id, false AS collision FROM documents"),
     "red9_wire_runs": (_messages(lambda m: M.redacted_runs(m, (("text", "reasoning"),)).select("session", "pos", F.size("blocks").cast("long").alias("n_blocks"), "changed")), None),
     "rep3_ledger": (
         lambda spark, d: V.ledger_faults(_attempts(spark, d).drop("k"), _attempts(spark, d).filter("k % 150 > 0").unionByName(_attempts(spark, d).filter("k % 400 = 0").withColumn("wire", F.lit("W"))), 5),

@@ -239,3 +239,41 @@ def test_a_checkpoint_of_a_session(spark):
     got = condensed.checkpoints(found, 100, share=0.99).first()
     assert "MUST: keep" in got.body + got.overflow and "forged" not in got.body + got.overflow and got.last_answer == 20
     assert condensed.extracted(found, 1000).filter("kind = 'user_pins'").count() == 1
+
+
+def test_blocks_keep_their_number(spark):
+    key = "sk-" + "A1" * 16
+    assert C.redacted_run(["k " + key[:9], "", key[9:20], key[20:] + " end"])[1:3] == ["", ""] and "".join(C.redacted_run(["k " + key[:9], key[9:] + " end"])) == C.redacted_text(f"k {key} end")[0]
+    assert C.redacted_run([key, " plain"]) == [C.redacted_text(key)[0], " plain"] and C.redacted_run(["a", "b"]) == ["a", "b"]
+    found = blocks(spark, ("user", "user", None, None, ("text", None, "k " + key[:13]), ("text", None, key[13:]), ("image", None, None), ("reasoning", None, key)))
+    got = [r.text for r in condensed.redacted_blocks(found).orderBy("ix").collect()]
+    assert len(got) == 4 and key not in "".join(got) and "".join(got).count("[REDACTED:api_key:") == 2
+
+
+def test_both_forms_of_redaction_agree(spark):
+    from ledgerloom.sources.tables import secrets
+
+    docs = secrets(spark, "/root/testdata/sf0.001")
+    for r in R.redacted(docs).join(docs.withColumnRenamed("text", "raw"), "doc_id").collect():
+        assert (r.text, r.hits) == C.redacted_text(r.raw)
+
+
+def test_json_leaves_and_marks():
+    key = "sk-" + "a1" * 12
+    assert C.redacted_leaves({key: [key, {"x": "plain"}, 3, None]}) == {key: [C.redacted_text(key)[0], {"x": "plain"}, 3, None]}
+    block = lambda t, kind="text": {"type": kind, "text": t}
+    assert C.holds([block("[ma"), block("rk]", "reasoning")], "[mark]") and not C.holds([block("[ma"), {"type": "image"}, block("rk]")], "[mark]") and C.holds({"a": [1, {"b": "x[mark]"}]}, "[mark]")
+
+
+def test_claims_and_contents_on_disk(spark, tmp_path):
+    refs = spark.createDataFrame([(1, H, "t1", 1, "secret", 9)], "ref_id long, sha256 string, tenant string, session long, label string, retain_until long")
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    path = f"{tmp_path}/claims"
+    assert S.read_claims(spark, path).count() == 0 and S.read_contents(spark, f"{tmp_path}/blobs").count() == 0
+    claims = S.put(docs, refs, "t1", "internal", 5, 99).drop("text", "doc_id").withColumn("session", F.lit("s"))
+    for _ in range(2):
+        S.add_claims(claims, path)
+        A.store(docs, f"{tmp_path}/blobs")
+    got = S.read_claims(spark, path)
+    assert got.count() == 6 and got.select("ref_id").distinct().count() == 6 and S.read_contents(spark, f"{tmp_path}/blobs").count() == 2
+    assert A.sweep(S.read_contents(spark, f"{tmp_path}/blobs"), got, 2**62).count() == 2
