@@ -195,8 +195,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         kinds = warm.df.groupBy("span").agg((F.min(place) != F.max(place)).alias("twice"), F.first("windows").alias("windows"))
         each = Cut(kinds.select("span", "twice", F.posexplode("windows").alias("i", "window")), "windows").df
         again = each.groupBy("window").agg(F.min("span").alias("x"), F.max("span").alias("y"), F.bool_or("twice").alias("twice")).filter("twice or x <> y").select("window")
-        found_in = each.join(again, "window", "left_semi").groupBy("span").agg(F.collect_list("i").alias("i"))
-        marks = marks.unionByName(warm.df.join(found_in, "span").select("key", F.transform("i", lambda i: i + F.col("at")).alias("starts")))
+        # Written, so that the join deals out both sides and Spark can split a super-k-mer that many texts hold.
+        found_in = Cut(each.join(again, "window", "left_semi").groupBy("span").agg(F.collect_list("i").alias("i")), "found")
+        marks = marks.unionByName(warm.df.join(found_in.small("span", "i"), "span").select("key", F.transform("i", lambda i: i + F.col("at")).alias("starts")))
     starts = marks.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     changed = texts.select("key", "text").join(starts, "key").mapInArrow(_strip, "key binary, n_removed long, kept_sha256 string, kept string")
     return rows, changed
