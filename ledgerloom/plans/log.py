@@ -18,6 +18,7 @@ from ledgerloom.operators import policy as P
 from ledgerloom.operators import redaction as R
 from ledgerloom.operators import store as S
 from ledgerloom.operators import windows as W
+from ledgerloom.plans.sessions import D_
 from ledgerloom.sources import log as L
 from ledgerloom.sources import tables as B
 from ledgerloom.streaming import state as Z
@@ -231,9 +232,9 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS pos
     ),
     "anc11_verbatim": (
         lambda spark, d: N.verbatim(N.anchors(B.drafts(spark, d)), B.drafts(spark, d).withColumn("text", F.regexp_replace("text", "src/", "lib/"))).distinct(),
-        None,
+        f"{D_} SELECT DISTINCT a.session, a.seq, a.kind, a.text FROM a JOIN d ON a.session = d.session AND a.seq = d.seq WHERE contains(replace(d.text, 'src/', 'lib/'), a.text)",
     ),
-    "anc16_by_kind": (lambda spark, d: N.by_kind(N.distinct_anchors(N.anchors(B.drafts(spark, d)))), None),
+    "anc16_by_kind": (lambda spark, d: N.by_kind(N.distinct_anchors(N.anchors(B.drafts(spark, d)))), f"{D_} SELECT session, kind, count(*) AS n, min(seq) AS first_seq FROM u GROUP BY session, kind"),
     "dlv2_leading_labels": (
         lambda spark, d: N.leading_labels(_entries(spark, d)),
         f"WITH e AS ({ENTRIES}) SELECT DISTINCT session, seq, regexp_replace(regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)(?:\\A|[.!?:\\n]+)[\\s*.)\\d-]*(Q\\d+|Question\\s?\\d+|Task\\s?\\d+)\\b', 1))), '\\s+', '', 'g'), '^question', 'q') AS label FROM e",
