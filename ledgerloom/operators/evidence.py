@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +74,38 @@ def first_tokens(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), (F.min(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / F.lit(1e6)).alias("seconds"))
 
 
+SUMS = ("requests", "prompt_tokens", "output_tokens", "total_tokens", "cached_tokens", "summary_tokens", "unknown_usage_requests", "committed_compactions", "network_seconds", "summary_wall_seconds")
+STATS = ("parse_failures", "prose_fallbacks", "shape_repairs", "pass_failures")
+MEDIANS = {"process_wall_seconds": 3, "summary_wall_seconds": 3, "context_reduction_pct": None}
+
+
+def per_arm(runs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Of each arm: its runs, how many got every fact, facts, medians of times and reductions, sums of counters and of statistics, and the most that requests of unknown usage (arm, upper) can have used."""
+    median = lambda c, digits: F.median(c) if digits is None else F.round(F.median(c), digits)
+    rows = runs.groupBy("arm").agg(
+        F.count("*").alias("runs"), F.count_if(F.col("fact_passed") == F.col("fact_total")).alias("all_facts_correct_tasks"), F.sum("fact_passed").alias("fact_passed"), F.sum("fact_total").alias("fact_total"),
+        *[median(c, digits).alias(f"median_{c}") for c, digits in MEDIANS.items()], *[F.round(F.sum(c), 3).alias(c) for c in SUMS], *[F.sum(c).alias(c) for c in STATS],
+    )
+    upper = ledger.groupBy("arm").agg(F.sum("upper").alias("unknown_usage_upper_tokens"))
+    return rows.join(upper, "arm", "left").withColumn("unknown_usage_upper_tokens", F.coalesce("unknown_usage_upper_tokens", F.lit(0).cast("long")))
+
+
+def paired(runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each case that has a run in both arms, side by side: facts, times, tokens and their change in percent, and whether both began with equal inputs (job, history, expected) and settings that differ in `auto` only.
+
+    Of an arm's runs of a case, that of the least job counts. One shuffle by case instead of a self-join.
+    """
+    rows = runs.join(jobs, "job")
+    of = lambda arm: F.min_by(F.struct("fact_passed", "process_wall_seconds", "total_tokens", "summary_wall_seconds", "context_reduction_pct", "history", "expected", "auto", "settings"), F.when(F.col("arm") == arm, F.col("job")))
+    both = rows.groupBy("case").agg(of("baseline").alias("a"), of("compact").alias("b")).filter("a is not null and b is not null")
+    same = lambda *names: reduce(and_, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
+    return both.select(
+        "case", same("history", "expected").alias("inputs_equal"), (same("settings") & ~F.col("a.auto") & F.col("b.auto")).alias("settings_paired"), F.col("a.fact_passed").alias("baseline_facts"), F.col("b.fact_passed").alias("compact_facts"),
+        F.col("a.process_wall_seconds").alias("baseline_seconds"), F.col("b.process_wall_seconds").alias("compact_seconds"), F.col("a.total_tokens").alias("baseline_tokens"), F.col("b.total_tokens").alias("compact_tokens"), F.col("b.summary_wall_seconds").alias("summary_seconds"),
+        F.col("b.context_reduction_pct").alias("context_reduction_pct"), F.round(100 * (F.try_divide("b.total_tokens", "a.total_tokens") - 1), 2).alias("token_change_pct"),
+    )
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """Results as JSON and as CSV below a folder; each is committed whole or not at all."""
     rows.write.mode("overwrite").json(f"{path}/json")

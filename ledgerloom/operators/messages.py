@@ -6,9 +6,10 @@ a tool-result block is that of its inner blocks; of a tool-call block, its argum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import token_estimate
 from ledgerloom.operators.redaction import redact, replace_each
 from ledgerloom.sources.log import HEADING
 
@@ -83,6 +84,23 @@ def surface_nodes(found: DataFrame) -> DataFrame:
     return found.select("session", "seq", role.alias("role"), F.array_join(wire, "\u0001").alias("content"), F.size(wire).cast("long").alias("n_blocks"), first.alias("tool_call_id"))
 
 
+def priced(found: DataFrame) -> DataFrame:
+    """A session's messages as a priced surface: session, pos (dense from 0), tokens, is_checkpoint, has_system, open_calls and balanced (no call before the place lacks its result).
+
+    A call ends with the first later tool output of its id; without one it stays open. An id that a message calls twice is one call.
+    """
+    calls = found.select("session", "pos", F.explode(F.array_distinct(F.transform(F.filter("content", lambda b: b["type"] == "tool-call"), lambda b: b["block_call"]))).alias("call"))
+    answers = found.filter(is_tool_output()).select("session", F.col("call_id").alias("call"), F.col("pos").alias("at"))
+    pairs = calls.join(answers, ["session", "call"], "left").groupBy("session", "call", "pos").agg(F.min(F.when(F.col("at") > F.col("pos"), F.col("at"))).alias("at"))
+    steps = pairs.select("session", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("at").alias("pos"), F.lit(-1).alias("d")))).alias("s")).select("session", "s.pos", "s.d").filter("pos is not null")
+    rows = found.select("session", "pos", token_estimate(text_of(F.col("content"))).alias("tokens"), is_checkpoint().alias("is_checkpoint"), (F.col("role") == "system").alias("system"))
+    rows = rows.join(steps.groupBy("session", "pos").agg(F.sum("d").alias("d")), ["session", "pos"], "left")
+    order = Window.partitionBy("session").orderBy("pos")
+    open_calls = F.coalesce(F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = rows.select("session", (F.row_number().over(order) - 1).cast("long").alias("pos"), "tokens", "is_checkpoint", F.first("system").over(order).alias("has_system"), open_calls.alias("open_calls"))
+    return rows.withColumn("balanced", F.col("open_calls") == 0)
+
+
 def aligned(surface: DataFrame, found: DataFrame) -> DataFrame:
     """A surface (session, pos, seq) with its messages; seqs that the log doesn't know go."""
     return surface.select("session", "pos", "seq").join(found.drop("pos"), ["session", "seq"])

@@ -28,8 +28,9 @@ REPORT = [
     ("private key", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----"),
     ("private network address", r"(^|\W)(10(\.\d{1,3}){3}|192\.168(\.\d{1,3}){2}|172\.(1[6-9]|2\d|3[01])(\.\d{1,3}){2})(\W|$)"),
     ("hardware address", r"(^|\W)([A-Fa-f0-9]{2}:){5}[A-Fa-f0-9]{2}(\W|$)"),
-    ("e-mail", r"(^|\W)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(\W|$)"),
+    ("personal email", rf"(?:{_B}|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))[A-Za-z0-9._%+-]+@(?!(?:users\.noreply\.github\.com|example\.(?:com|org|net|invalid))(?![A-Za-z0-9_]))[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?![A-Za-z0-9_])"),
 ]
+EMAIL = REPORT[-1]
 
 
 def marker(name: str, value: Column) -> Column:
@@ -123,3 +124,12 @@ def publication_report(docs: DataFrame) -> DataFrame:
     """doc_id and rule for each pattern that a text must not hold."""
     named = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), n) for n, p in REPORT]))
     return docs.select("doc_id", F.explode(named).alias("rule"))
+
+
+def unpublishable(files: DataFrame, roots: list[str], allowed: list[str]) -> DataFrame:
+    """Files (path) that hold local data or settings by their path: below a private root or the fixtures, settings of an environment, data and archive formats. Those that `allowed` names may be of a format that needs leave (.json, .tgz)."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    suffix = F.regexp_extract(name, r"(?<=[^.])(\.[^.]+)$", 1)
+    local = F.element_at(parts, 1).isin(roots) | F.startswith("path", F.lit("tests/fixtures/")) | F.exists(parts, lambda p: F.startswith(p, F.lit(".env"))) | suffix.isin(".zip", ".jsonl", ".csv", ".sse", ".log", ".txt", ".bundle")
+    return files.filter(local | (suffix.isin(".json", ".tgz") & ~F.col("path").isin(allowed))).select("path")

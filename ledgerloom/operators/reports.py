@@ -34,18 +34,6 @@ def on_time(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("now", F.max("ts").over(order)).filter(F.col("ts") >= F.col("now") - F.expr(f"INTERVAL '{seconds}' SECOND")).select("event_id", "user_id")
 
 
-def per_arm(runs: DataFrame, arm: str = "event_type", value: str = "value", passes: float = 50) -> DataFrame:
-    v = F.col(value)
-    return runs.groupBy(F.col(arm).alias("arm")).agg(F.count("*").alias("n"), F.count_if(v >= passes).alias("passing"), F.round(F.median(v), 6).alias("median_value"), F.round(F.sum(v), 2).alias("total"))
-
-
-def paired(orders: DataFrame) -> DataFrame:
-    """Each item's two sums, where it has both, and the change in percent; one shuffle instead of a self-join."""
-    of = lambda s: F.round(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 2)
-    both = orders.groupBy(F.col("o_custkey").alias("item")).agg(of("O").alias("baseline"), of("F").alias("candidate")).filter("baseline is not null and candidate is not null")
-    return both.withColumn("percent", F.round(100 * (F.col("candidate") - F.col("baseline")) / F.col("baseline"), 4))
-
-
 def inventory(left: DataFrame, right: DataFrame) -> DataFrame:
     """Paths that only one of two inventories (path, sha256) holds, or both with different contents."""
     a, b = left.select("path", F.col("sha256").alias("a")), right.select("path", F.col("sha256").alias("b"))

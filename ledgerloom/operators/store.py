@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ledgerloom.operators.redaction import redacted
 FOREVER = 9007199254740991
 #: Most bytes that the reading tool returns.
 READ_BYTES = 32 * 1024
+#: Milliseconds that a temporary file may belong to a write that goes on.
+TEMP_AGE = 3_600_000
 SECRET_MARK = "<!-- secret-provenance: true -->"
 
 
@@ -173,3 +178,41 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
 def _read(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return read() if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else spark.createDataFrame([], schema)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_info(spark: SparkSession, folder: str, digest: str, info: dict) -> str:
+    """Publishes what is known of a content as JSON beside it, whole or not at all: a file of its own gives way to the final name. Returns that name; of two writers the last one's stands."""
+    name, temp = f"{folder}/{digest}.info.json", f"{folder}/.{digest}.{uuid.uuid4()}.info.tmp"
+    (to, fs), (temporary, _) = _files(spark, name), _files(spark, temp)
+    try:
+        with_bytes = fs.create(temporary, True)
+        try:
+            with_bytes.write(bytearray(json.dumps(info).encode()))
+        finally:
+            with_bytes.close()
+        options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = spark._sc._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(temporary, to, how)
+    except Exception:
+        fs.delete(temporary, False)
+        raise
+    return name
+
+
+def sweep_temps(spark: SparkSession, root: str, now: int, least: int = TEMP_AGE) -> tuple[int, int]:
+    """Removes the *.tmp files in the folders sha256/* below root that were last written `least` milliseconds before now or earlier; how many this call removed, and their bytes.
+
+    Only temporary files are listed, by the file system: their number follows from crashes, not from the store's size. A file that is gone already counts for nothing.
+    """
+    pattern, fs = _files(spark, f"{root}/sha256/*/*.tmp")
+    removed = freed = 0
+    for found in fs.globStatus(pattern) or []:
+        if found.isFile() and now - found.getModificationTime() >= least and fs.delete(found.getPath(), False):
+            removed, freed = removed + 1, freed + found.getLen()
+    return removed, freed

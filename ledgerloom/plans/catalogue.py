@@ -11,6 +11,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import artifacts as A
 from ledgerloom.operators import windows as W
 from ledgerloom.plans.log import CATALOGUE as LOG
+from ledgerloom.plans.log import range_sql
 from ledgerloom.plans.sessions import CATALOGUE as SESSIONS
 from ledgerloom.sources.tables import REFS_SQL, SURFACE_SQL, references, surface, table
 from ledgerloom.streaming import state as S
@@ -44,14 +45,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
 _CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "rng1_select_range": (
         _surface(W.select_range, RETAIN, FLOOR, MINIMUM),
-        f"""WITH n AS ({SURFACE_SQL}),
- w AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suf, count(*) OVER (PARTITION BY session) AS n, CASE WHEN has_system THEN 1 ELSE 0 END AS first FROM n),
- k AS (SELECT session, any_value(n) AS n, any_value(first) AS first, coalesce(max(CASE WHEN suf >= {RETAIN} THEN pos END), 0) AS keep0 FROM w GROUP BY session),
- a AS (SELECT w.session, any_value(k.first) AS first, any_value(k.n) AS n, coalesce(min(CASE WHEN w.pos >= keep0 AND NOT (w.is_checkpoint AND w.suf - w.tokens >= {RETAIN * FLOOR}) THEN w.pos END), any_value(k.n)) AS keep1
-       FROM w JOIN k ON w.session = k.session GROUP BY w.session HAVING any_value(keep0) > any_value(k.first)),
- b AS (SELECT w.session, any_value(a.first) AS first, max(CASE WHEN w.balanced AND w.pos <= a.keep1 AND w.pos > a.first THEN w.pos END) AS keep2 FROM w JOIN a ON w.session = a.session WHERE a.keep1 < a.n GROUP BY w.session)
-SELECT w.session, CAST(any_value(b.first) AS BIGINT) AS start, any_value(b.keep2) - 1 AS "end", CAST(sum(tokens) AS BIGINT) AS tokens
-FROM w JOIN b ON w.session = b.session WHERE b.keep2 IS NOT NULL AND w.pos >= b.first AND w.pos < b.keep2 GROUP BY w.session HAVING sum(tokens) >= {MINIMUM}""",
+range_sql(f"WITH n AS ({SURFACE_SQL})", RETAIN, FLOOR, MINIMUM),
     ),
     "rng2_tail_tokens": (_surface(W.tail_tokens), f"{S_} SELECT session, pos, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC) AS BIGINT) AS tail FROM s"),
     "rng3_pairing_balance": (

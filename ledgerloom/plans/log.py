@@ -94,6 +94,18 @@ _BLOBS = "bl AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN sha256('\\xFF\\x0
 _REFS_USED = lambda spark, d: A.visible(B.references(spark, d), "t1", "confidential", 200)
 
 
+def range_sql(given: str, retain: int, floor: float, minimum: int) -> str:
+    """The span to replace, over the surface n that the text `given` names."""
+    return f"""{given},
+ w AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suf, count(*) OVER (PARTITION BY session) AS n, CASE WHEN has_system THEN 1 ELSE 0 END AS first FROM n),
+ k AS (SELECT session, any_value(n) AS n, any_value(first) AS first, coalesce(max(CASE WHEN suf >= {retain} THEN pos END), 0) AS keep0 FROM w GROUP BY session),
+ a AS (SELECT w.session, any_value(k.first) AS first, any_value(k.n) AS n, coalesce(min(CASE WHEN w.pos >= keep0 AND NOT (w.is_checkpoint AND w.suf - w.tokens >= {retain * floor}) THEN w.pos END), any_value(k.n)) AS keep1
+       FROM w JOIN k ON w.session = k.session GROUP BY w.session HAVING any_value(keep0) > any_value(k.first)),
+ b AS (SELECT w.session, any_value(a.first) AS first, max(CASE WHEN w.balanced AND w.pos <= a.keep1 AND w.pos > a.first THEN w.pos END) AS keep2 FROM w JOIN a ON w.session = a.session WHERE a.keep1 < a.n GROUP BY w.session)
+SELECT w.session, CAST(any_value(b.first) AS BIGINT) AS start, any_value(b.keep2) - 1 AS "end", CAST(sum(tokens) AS BIGINT) AS tokens
+FROM w JOIN b ON w.session = b.session WHERE b.keep2 IS NOT NULL AND w.pos >= b.first AND w.pos < b.keep2 GROUP BY w.session HAVING sum(tokens) >= {minimum}"""
+
+
 def _messages(f: Callable[..., DataFrame], *a) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(M.messages(L.blocks(spark, d)), *a)
 
@@ -140,13 +152,38 @@ _documents, _DOCUMENTS = L.relation(
 )
 _broken, _BROKEN = L.relation("""SELECT doc_id, concat('{"schema_version":1,"task_state":{"goal":"g","open":"one","decisions":[', CASE doc_id % 3 WHEN 0 THEN '{}' ELSE '' END, ']}', CASE doc_id % 2 WHEN 0 THEN '}' ELSE '' END) AS text FROM {documents}""")
 _flats, _FLATS = L.relation("""SELECT doc_id, concat('{"schema_version":1,"goal":"g","completed":["a"],"open":[],"state":["s"],"constraints":[],"next_step":', CASE doc_id % 3 WHEN 0 THEN '3' ELSE '"n"' END, CASE doc_id % 5 WHEN 0 THEN ',"x":1' ELSE '' END, '}') AS text FROM {documents}""")
-_signed = lambda spark, d: B.table(spark, d, "events").limit(1_000_000).select(F.col("event_id").cast("string").alias("event_id"), F.lit("1700000000").alias("stamp"), F.concat(F.lit("v1="), F.sha2("props", 256)).alias("signature"), F.coalesce("props", F.lit("")).alias("body"))
+_SECRET = "a shared secret"
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of events: good ones, forged ones, late ones and malformed ones."""
+    rows = B.table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 5 == 2, "1600000000").otherwise("1700000000").alias("stamp"), F.coalesce("props", F.lit("")).alias("body"), (F.col("event_id") % 5).alias("k"))
+    good = Z.mac(Z.signed_text(), _SECRET)
+    return rows.withColumn("signature", F.concat(F.lit("v1="), F.when(F.col("k") == 1, F.sha2("body", 256)).when(F.col("k") == 3, F.substring(good, 1, 63)).when(F.col("k") == 4, F.upper(good)).otherwise(good))).drop("k")
+
+
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _SECRET.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_MACS = f"""x AS (SELECT CAST(event_id AS STRING) AS id, event_id % 5 AS k, CASE WHEN event_id % 5 = 2 THEN '1600000000' ELSE '1700000000' END AS stamp, coalesce(props, '') AS body FROM events),
+ h AS (SELECT id, k, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(length(id) || ':' || id || '.' || length(stamp) || ':' || stamp || '.' || body)))) AS mac FROM x)"""
 _deliveries, _DELIVERIES = L.relation("SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n, event_id % 5 AS id, ts FROM {events}")
 _FILE_RE = "[A-Za-z]+tion[ ,.]"
 _LINES = """l AS (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents)"""
 _CUTS = "c AS (SELECT doc_id, text, octet_length(encode(text)) AS n, [octet_length(encode(substr(text, 1, k))) for k in range(0, 81)] AS ends FROM documents)"
 _NOTE = lambda text: f"concat(label, '{text.replace(chr(39), chr(39) * 2)}')"
 
+_COUNTERS = ", ".join(f"o_orderkey % {i + 3} AS {c}" for i, c in enumerate(c for c in V.SUMS + V.STATS if not c.endswith("seconds") and c != "total_tokens"))
+_arms, ARMS = L.relation(
+    f"""SELECT o_orderkey AS job, concat('case ', CAST(o_custkey AS STRING)) AS `case`, CASE o_orderstatus WHEN 'O' THEN 'baseline' WHEN 'F' THEN 'compact' ELSE 'other' END AS arm, o_orderkey % 7 AS fact_passed, CAST(6 AS BIGINT) AS fact_total, o_orderkey % 1000 + 1 AS total_tokens, {_COUNTERS},
+ CAST(o_orderkey % 97 AS DOUBLE) / 8 AS process_wall_seconds, CAST(o_orderkey % 89 AS DOUBLE) / 4 AS summary_wall_seconds, CAST(o_orderkey % 83 AS DOUBLE) / 2 AS network_seconds, CAST(o_orderkey % 79 AS DOUBLE) AS context_reduction_pct FROM {{orders}}"""
+)
+_uppers, UPPERS = L.relation("SELECT CASE o_orderstatus WHEN 'O' THEN 'baseline' ELSE 'compact' END AS arm, o_custkey % 100 AS upper FROM {orders} WHERE o_orderkey % 3 = 0")
+_jobs, JOBS = L.relation("SELECT o_orderkey AS job, concat('h', CAST(o_orderkey % 2 AS STRING)) AS history, 'e' AS expected, o_orderstatus = 'F' AS auto, concat('s', CAST(o_orderkey % 3 AS STRING)) AS settings FROM {orders}")
+ARMS = ARMS.replace("`", '"')
+_paths, PATHS = L.relation("SELECT concat(CASE doc_id % 5 WHEN 0 THEN 'private/' WHEN 1 THEN 'src/.env.d/' WHEN 2 THEN 'tests/fixtures/' ELSE 'src/' END, CAST(doc_id % 40 AS STRING), CASE doc_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.json' WHEN 2 THEN '.tgz' ELSE '.py' END) AS path FROM {documents}")
+_PRICED = f"""{_MESSAGES}, ca AS (SELECT DISTINCT session, pos, block_call AS id FROM b WHERE type = 'tool-call'), an AS (SELECT DISTINCT p.session, p.pos, b.call_id AS id FROM p JOIN b ON p.session = b.session AND p.pos = b.pos WHERE tool_output),
+ pr AS (SELECT ca.session, ca.pos, ca.id, min(an.pos) AS r FROM ca LEFT JOIN an ON ca.session = an.session AND ca.id = an.id AND an.pos > ca.pos GROUP BY ALL),
+ n AS (SELECT p.session, pos, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, checkpoint AS is_checkpoint, first_value(role = 'system') OVER (PARTITION BY session ORDER BY pos) AS has_system, NOT EXISTS (SELECT 1 FROM pr WHERE pr.session = p.session AND pr.pos < p.pos AND (r IS NULL OR r >= p.pos)) AS balanced FROM p)"""
+
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "txt11_message_profile": (_messages(lambda m: _hashed(M.profile(m))), f"WITH {_MESSAGES} SELECT session, pos, tool_output, human, checkpoint, delivered, sha256(text) AS sha256 FROM p"),
     "txt16_surface_nodes": (
@@ -309,6 +346,25 @@ SELECT d.doc_id, coalesce(n, 0) AS hits, CASE WHEN n IS NULL THEN 'no matches' E
     "red8_json_leaves": (lambda spark, d: C.redacted_json(_secret_json(spark, d)), None),
     "enc7_collisions": (lambda spark, d: C.holding(_json(spark, d), '"z'), "SELECT doc_id, false AS collision FROM documents"),
     "red9_wire_runs": (_messages(lambda m: M.redacted_runs(m, (("text", "reasoning"),)).select("session", "pos", F.size("blocks").cast("long").alias("n_blocks"), "changed")), None),
+    "rep1_per_arm": (
+        lambda spark, d: V.per_arm(_arms(spark, d), _uppers(spark, d)),
+        f"""WITH r AS ({ARMS}), u AS (SELECT arm, CAST(sum(upper) AS BIGINT) AS upper FROM ({UPPERS}) GROUP BY arm)
+SELECT r.arm, count(*) AS runs, CAST(count_if(fact_passed = fact_total) AS BIGINT) AS all_facts_correct_tasks, CAST(sum(fact_passed) AS BIGINT) AS fact_passed, CAST(sum(fact_total) AS BIGINT) AS fact_total,
+ {", ".join(f"round(median({c}), 3) AS median_{c}" if k else f"median({c}) AS median_{c}" for c, k in V.MEDIANS.items())}, {", ".join(f"round(sum({c}), 3) AS {c}" if c.endswith("seconds") else f"CAST(sum({c}) AS BIGINT) AS {c}" for c in V.SUMS + V.STATS)},
+ CAST(coalesce(any_value(u.upper), 0) AS BIGINT) AS unknown_usage_upper_tokens FROM r LEFT JOIN u ON r.arm = u.arm GROUP BY r.arm""",
+    ),
+    "rep2_paired": (
+        lambda spark, d: V.paired(_arms(spark, d), _jobs(spark, d)),
+        f"""WITH x AS (SELECT r.*, history, expected, auto, settings FROM ({ARMS}) r JOIN ({JOBS}) j ON r.job = j.job), f AS (SELECT *, row_number() OVER (PARTITION BY "case", arm ORDER BY job) AS k FROM x WHERE arm IN ('baseline', 'compact'))
+SELECT a."case", a.history = b.history AND a.expected = b.expected AS inputs_equal, a.settings = b.settings AND NOT a.auto AND b.auto AS settings_paired, a.fact_passed AS baseline_facts, b.fact_passed AS compact_facts, a.process_wall_seconds AS baseline_seconds, b.process_wall_seconds AS compact_seconds,
+ a.total_tokens AS baseline_tokens, b.total_tokens AS compact_tokens, b.summary_wall_seconds AS summary_seconds, b.context_reduction_pct, round(100 * (b.total_tokens / a.total_tokens - 1), 2) AS token_change_pct FROM f a JOIN f b ON a."case" = b."case" WHERE a.k = 1 AND b.k = 1 AND a.arm = 'baseline' AND b.arm = 'compact'""",
+    ),
+    "red11_paths": (
+        lambda spark, d: R.unpublishable(_paths(spark, d), ["private"], ["src/1.json", "src/7.tgz"]),
+        f"SELECT path FROM ({PATHS}) WHERE path LIKE 'private/%' OR path LIKE 'tests/fixtures/%' OR path LIKE '%/.env%' OR path LIKE '%.csv' OR ((path LIKE '%.json' OR path LIKE '%.tgz') AND path NOT IN ('src/1.json', 'src/7.tgz'))",
+    ),
+    "rng3_open_calls": (_messages(lambda m: M.priced(m).select("session", "pos", "is_checkpoint", "has_system", "balanced")), f"WITH {_PRICED} SELECT session, pos, is_checkpoint, has_system, balanced FROM n"),
+    "rng1_paired_range": (_messages(lambda m: W.select_range(M.priced(m), 60, 0.5, 10)), range_sql(f"WITH n AS (WITH {_PRICED} SELECT * FROM n)", 60, 0.5, 10)),
     "rep3_ledger": (
         lambda spark, d: V.ledger_faults(_attempts(spark, d).drop("k"), _attempts(spark, d).filter("k % 150 > 0").unionByName(_attempts(spark, d).filter("k % 400 = 0").withColumn("wire", F.lit("W"))), 5),
         f"""WITH a AS ({ATTEMPTS}), s AS (SELECT job, "index", purpose, wire FROM a), l AS (SELECT job, "index", purpose, wire FROM a WHERE k % 150 > 0 UNION ALL SELECT job, "index", purpose, 'W' FROM a WHERE k % 400 = 0),
@@ -335,7 +391,8 @@ SELECT fault, count(*) AS n FROM x GROUP BY fault UNION ALL SELECT 'limit', coun
         "SELECT doc_id, doc_id % 2 = 1 OR doc_id % 3 = 0 AS allowed FROM documents",
     ),
     "str1_pressure_log": (lambda spark, d: P.pressure_log(measured(spark, d), LIMITS), None),
-    "str5_verified": (lambda spark, d: Z.verified(_signed(spark, d), "key", 1700000100), "SELECT CAST(event_id AS STRING) AS event_id, 'bad_signature' AS reason FROM events"),
+    "str5_verified": (lambda spark, d: Z.verified(_signed(spark, d), _SECRET, 1700000100), "SELECT CAST(event_id AS STRING) AS event_id, CASE event_id % 5 WHEN 1 THEN 'bad_signature' WHEN 2 THEN 'stale_timestamp' WHEN 3 THEN 'malformed_signature' END AS reason FROM events"),
+    "str5_signatures": (lambda spark, d: _signed(spark, d).select("event_id", Z.mac(Z.signed_text(), _SECRET).alias("mac")), f"WITH {_MACS} SELECT id AS event_id, mac FROM h"),
     "str6_admitted": (lambda spark, d: Z.admitted(_deliveries(spark, d).select("key", "n", "id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("stamp"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("now")), 300), None),
     "str9_current": (
         lambda spark, d: Z.current(B.table(spark, d, "conversations").selectExpr("conv_id AS session", "turn % 3 AS generation", "turn"), B.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("session")).agg((F.max("turn") % 3).alias("generation"))),

@@ -97,7 +97,11 @@ SELECT session, found, o.u AS used, CAST(len(o.k) AS BIGINT) AS n_kept, array_to
 SELECT i.session, i.label, n, seq FROM i LEFT JOIN t ON i.session = t.session AND i.label = t.label WHERE t.label IS NULL OR n > 1""",
     ),
     "red1_redact": (_on(T.secrets, lambda df: _hashed(R.redacted(df).drop("by_rule"))), _redact_sql()),
-    "red11_publication_report": (_on(T.secrets, R.publication_report), f"WITH s AS ({T.SECRETS_SQL}), p(rule, re) AS (VALUES {', '.join(f'({_q(n)}, {_q(p)})' for n, p in R.REPORT)}) SELECT doc_id, rule FROM s, p WHERE regexp_matches(text, re)"),
+    "red11_publication_report": (
+        _on(T.secrets, R.publication_report),
+        f"""WITH s AS ({T.SECRETS_SQL}), p(rule, re) AS (VALUES {', '.join(f'({_q(n)}, {_q(p)})' for n, p in R.REPORT if n != R.EMAIL[0])}), m AS (SELECT doc_id, unnest(list_zip(string_split(text, '@')[:-2], string_split(text, '@')[2:])) AS x FROM s)
+SELECT doc_id, rule FROM s, p WHERE regexp_matches(text, re) UNION ALL SELECT DISTINCT doc_id, '{R.EMAIL[0]}' FROM m WHERE regexp_matches(x[1], '\\w[A-Za-z0-9._%+-]*$') AND regexp_matches(x[2], '^[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b') AND NOT regexp_matches(x[2], '^(users\\.noreply\\.github\\.com|example\\.(com|org|net|invalid))\\b')""",
+    ),
     "uri2_found": (_on(T.cited, A.uris), f"WITH c AS ({T.CITED_SQL}) SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'artifact://sha256/([0-9a-f]{{64}})', 1))) AS sha256 FROM c"),
     "uri3_scrubbed": (
         lambda spark, d: _hashed(A.scrubbed(T.cited(spark, d), A.visible(T.references(spark, d), "t1", "confidential", 200))),
@@ -139,11 +143,6 @@ SELECT t.doc_id, coalesce(folds, 0) AS folds, sha256(coalesce(f.text, t.text)) A
         lambda spark, d: P.on_time(T.table(spark, d, "events"), 300),
         "SELECT event_id, user_id FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS now FROM events) WHERE ts >= now - INTERVAL 300 SECOND",
     ),
-    "rep1_per_arm": (lambda spark, d: P.per_arm(T.table(spark, d, "events")), "SELECT event_type AS arm, count(*) AS n, CAST(count_if(value >= 50) AS BIGINT) AS passing, round(median(value), 6) AS median_value, round(sum(value), 2) AS total FROM events GROUP BY event_type"),
-    "rep2_paired": (
-        lambda spark, d: P.paired(T.table(spark, d, "orders")),
-        """WITH g AS (SELECT o_custkey AS item, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS a, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS b FROM orders GROUP BY o_custkey) SELECT item, a AS baseline, b AS candidate, round(100 * (b - a) / a, 4) AS percent FROM g WHERE a IS NOT NULL AND b IS NOT NULL""",
-    ),
     "rep10_inventory": (
         lambda spark, d: P.inventory(T.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256")), T.table(spark, d, "labels").selectExpr("doc_id AS path", "sha2(CAST(quality AS STRING), 256) AS sha256").distinct()),
         "WITH a AS (SELECT doc_id AS path, sha256(text) AS s FROM documents), b AS (SELECT DISTINCT doc_id AS path, sha256(CAST(quality AS STRING)) AS s FROM labels) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'left' WHEN a.path IS NULL THEN 'right' ELSE 'differs' END AS state FROM a FULL JOIN b ON a.path = b.path WHERE a.s IS DISTINCT FROM b.s",

@@ -26,10 +26,10 @@ BLOCKS = f"""SELECT * FROM (
  SELECT conv_id AS session, turn AS pos, turn * 10 + 3 AS seq, CAST(k.ix AS BIGINT) AS ix, CASE WHEN role = 'user' AND f = 1 THEN 'tool' ELSE role END AS role,
   CASE WHEN role <> 'user' THEN role WHEN f < 2 THEN 'tool' WHEN f = 2 THEN 'compact-checkpoint' WHEN f = 3 THEN CAST(NULL AS STRING) ELSE 'user' END AS source,
   CASE WHEN role = 'user' AND f < 2 THEN concat('c', CAST(turn AS STRING)) END AS call_id, CASE WHEN role = 'user' AND f < 2 THEN conv_id % 4 = 0 END AS is_error,
-  CASE WHEN role = 'system' THEN CASE WHEN ix = 0 THEN 'text' END WHEN role = 'assistant' THEN CASE f % 3 WHEN 0 THEN CASE ix WHEN 0 THEN 'reasoning' WHEN 1 THEN 'text' END WHEN 1 THEN CASE ix WHEN 0 THEN 'text' WHEN 1 THEN 'tool-call' END ELSE CASE WHEN ix = 0 THEN 'reasoning' END END
+  CASE WHEN role = 'system' THEN CASE WHEN ix = 0 THEN 'text' END WHEN role = 'assistant' THEN CASE (f + 1) % 3 WHEN 0 THEN CASE ix WHEN 0 THEN 'reasoning' WHEN 1 THEN 'text' END WHEN 1 THEN CASE ix WHEN 0 THEN 'text' WHEN 1 THEN 'tool-call' END ELSE CASE WHEN ix = 0 THEN 'reasoning' END END
    WHEN f = 0 THEN CASE WHEN ix = 0 THEN 'tool-result' END WHEN f = 1 THEN CASE WHEN ix < 2 THEN 'text' END WHEN f = 2 THEN CASE WHEN ix = 0 THEN 'text' END WHEN ix = 1 AND conv_id % 2 = 0 THEN 'image' ELSE 'text' END AS type,
-  CASE WHEN role = 'assistant' AND ix = 1 AND f % 3 = 1 THEN concat('c', CAST(turn + 1 AS STRING)) WHEN role = 'user' AND f = 0 THEN CASE WHEN conv_id % 5 = 0 THEN 'other' ELSE concat('c', CAST(turn AS STRING)) END END AS block_call,
-  CASE WHEN role = 'system' THEN 'system rules' WHEN role = 'assistant' THEN CASE WHEN f % 3 = 1 AND ix = 1 THEN concat('{{"n":', CAST(turn AS STRING), '}}') WHEN f % 3 = 0 AND ix = 1 AND conv_id % 4 = 0 THEN '  ' ELSE concat('answer of Q', CAST(turn AS STRING), CASE WHEN ix = 0 THEN ' thought' ELSE ' said' END) END
+  CASE WHEN role = 'assistant' AND ix = 1 AND (f + 1) % 3 = 1 THEN concat('c', CAST(turn + 1 AS STRING)) WHEN role = 'user' AND f = 0 THEN CASE WHEN conv_id % 5 = 0 THEN 'other' ELSE concat('c', CAST(turn AS STRING)) END END AS block_call,
+  CASE WHEN role = 'system' THEN 'system rules' WHEN role = 'assistant' THEN CASE WHEN (f + 1) % 3 = 1 AND ix = 1 THEN concat('{{"n":', CAST(turn AS STRING), '}}') WHEN (f + 1) % 3 = 0 AND ix = 1 AND conv_id % 4 = 0 THEN '  ' ELSE concat('answer of Q', CAST(turn AS STRING), CASE WHEN ix = 0 THEN ' thought' ELSE ' said' END) END
    WHEN f = 0 THEN {_PAYLOAD} WHEN f = 1 THEN CASE WHEN ix = 0 THEN {_PAYLOAD} ELSE 'more' END WHEN f = 2 THEN {_CHECKPOINT} WHEN ix = 0 THEN {_HUMAN} WHEN ix = 1 THEN CASE WHEN conv_id % 2 = 0 THEN '' ELSE concat({_NL}, 'sk-', repeat('a1', 6)) END ELSE {_TAIL} END AS text
  FROM (SELECT conv_id, turn, role, (conv_id + turn) % 7 AS f FROM {{conversations}}) c CROSS JOIN (VALUES (0), (1), (2)) AS k(ix)) b WHERE type IS NOT NULL"""
 

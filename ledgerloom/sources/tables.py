@@ -48,7 +48,7 @@ DRAFT = """concat(coalesce(text, ''), chr(10), 'Q', CAST(turn + 1 AS STRING), ':
  'see src/m', CAST(conv_id % 7 AS STRING), '.py:', CAST(turn + 1 AS STRING), ' and (docs/a.md)', chr(10),
  CASE conv_id % 3 WHEN 0 THEN concat('ValueError: failed ', CAST(turn AS STRING)) WHEN 1 THEN 'FAILED test_a' ELSE '3 passed, 1 failed' END, chr(10), '  $ run ', CAST(turn % 2 AS STRING))"""
 SECRET = """concat(coalesce(text, ''), ' tok ', substr({h}, 1, 16), 'GHJKMNPQRSTVWXYZ', ' ', CASE doc_id % 6 WHEN 0 THEN concat('AKIA', upper(substr({h}, 1, 16))) WHEN 1 THEN concat('ghp_', substr({h}, 1, 40))
- WHEN 2 THEN concat('SK-', substr({h}, 1, 30)) WHEN 3 THEN concat('Authorization:  Bearer ', substr({h}, 1, 24), '" mail a@b.org 10.0.0.1') WHEN 4 THEN concat('artifact://sha256/', {h}) ELSE concat('eyJ', substr({h}, 1, 12), '.', substr({h}, 13, 12), '.', substr({h}, 25, 12)) END, ' ',
+ WHEN 2 THEN concat('SK-', substr({h}, 1, 30)) WHEN 3 THEN concat('Authorization:  Bearer ', substr({h}, 1, 24), '" mail a@', CASE doc_id % 18 WHEN 3 THEN 'b.org' WHEN 9 THEN 'example.org' ELSE 'example.organ.de' END, ' 10.0.0.1') WHEN 4 THEN concat('artifact://sha256/', {h}) ELSE concat('eyJ', substr({h}, 1, 12), '.', substr({h}, 13, 12), '.', substr({h}, 25, 12)) END, ' ',
  CASE doc_id % 4 WHEN 0 THEN concat('sk-', substr({h}, 1, 24), '-- end') WHEN 1 THEN concat('/', substr({h}, 1, 20), 'GHJKMNPQRSTVWXYZ== end') WHEN 2 THEN '[REDACTED:aws_key:0000]' ELSE concat(substr({h}, 1, 20), 'GHJKMNPQRSTVWXYZ==x/') END)"""
 CITED = """concat(coalesce(text, ''), ' see artifact://sha256/', {h}, ' or artifact://sha256/', {t})"""
 RUNS = """CASE doc_id % 11 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN concat('x', chr(10), '[adaptive-repeat:v1 additional=3]', chr(10)) WHEN 2 THEN ''

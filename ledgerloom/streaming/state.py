@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.policy import DECISION, STATE, Limits, State, decisions, stored
+from ledgerloom.operators.store import TEMP_AGE, sweep_temps
 
 
 def hysteresis(events: DataFrame, start: float, release: float) -> DataFrame:
@@ -58,25 +59,30 @@ def admitted(deliveries: DataFrame, window: int) -> DataFrame:
     return done.select("key", "id", F.col("o.n").alias("n"), F.col("o.ok").alias("admitted"))
 
 
-def signature(event_id: str, stamp: str, body: str, secret: str) -> str:
-    """HMAC-SHA256 over the event's id and time stamp, each led by its length, and its body."""
-    text = f"{len(event_id)}:{event_id}.{len(stamp)}:{stamp}.{body}"
-    return hmac.new(secret.encode(), text.encode(), hashlib.sha256).hexdigest()
+def mac(text: Column, secret: str) -> Column:
+    """HMAC-SHA256 of a text's bytes in hex, as two digests over the padded key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
-def verified(events: DataFrame, secret: str, now: int, skew: int = 300) -> DataFrame:
-    """event_id and why a signed event (event_id, stamp, signature, body: strings) is refused: stale_timestamp (late or ahead), malformed_signature, bad_signature; null if it is good."""
+def signed_text() -> Column:
+    """What an event's signature covers: its id and time stamp, each led by its length, and its body."""
+    return F.concat(F.length("event_id"), F.lit(":"), "event_id", F.lit("."), F.length("stamp"), F.lit(":"), "stamp", F.lit("."), "body")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [hmac.compare_digest(signature(r["event_id"], r["stamp"], r["body"], secret), r["signature"][3:].lower()) if r["ok"] else False for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("reason"), pa.array(good)], ["event_id", "reason", "good"])
+def verified(events: DataFrame, secret: str, now: int, skew: int = 300) -> DataFrame:
+    """event_id and why a signed event (event_id, stamp, signature, body: strings) is refused: stale_timestamp (late or ahead), malformed_signature, bad_signature; null if it is good. Batches and streams alike.
 
+    An empty secret, and a null in what is signed, refuse every signature.
+    """
     number = F.when(F.trim("stamp") == "", F.lit(0.0)).otherwise(F.col("stamp").try_cast("double"))
-    reason = F.when(F.lit(secret == ""), "bad_signature").when(number.isNull(), "malformed_signature").when(F.abs(F.lit(now) - number) > skew, "stale_timestamp").when(~F.col("signature").rlike(r"\Av1=[0-9A-Fa-f]{64}\z"), "malformed_signature")
-    rows = events.select("event_id", "stamp", "signature", "body", reason.alias("reason"), reason.isNull().alias("ok"))
-    checked = rows.mapInArrow(run, "event_id string, reason string, good boolean")
-    return checked.select("event_id", F.coalesce("reason", F.when(~F.col("good"), "bad_signature")).alias("reason"))
+    well = F.coalesce(F.col("signature").rlike(r"\Av1=[0-9A-Fa-f]{64}\z"), F.lit(False))
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    good = F.coalesce(F.lower(F.substring("signature", 4, 64)) == mac(signed_text(), secret), F.lit(False))
+    reason = F.when(F.lit(secret == ""), "bad_signature").when(~finite, "malformed_signature").when(F.abs(F.lit(now) - number) > skew, "stale_timestamp").when(~well, "malformed_signature").when(~good, "bad_signature")
+    return events.select("event_id", reason.alias("reason"))
 
 
 def pressure_windows(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -89,3 +95,14 @@ def current(responses: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Responses (session, generation, ...) to the surface as it is still; those that it has moved on from go."""
     now = surfaces.select("session", F.col("generation").alias("now"))
     return responses.join(now, "session").filter(F.col("generation") == F.col("now")).drop("now")
+
+
+def sweep_on_timer(spark: SparkSession, root: str, every: str = "61 minutes", least: int = TEMP_AGE, seen: list | None = None) -> StreamingQuery:
+    """A query that sweeps a store's stale temporary files at each turn of a processing-time timer, until it is stopped; `seen` gets each turn's files and bytes."""
+
+    def run(ticks: DataFrame, _: int) -> None:
+        done = sweep_temps(ticks.sparkSession, root, int(time.time() * 1000), least)
+        if seen is not None:
+            seen.append(done)
+
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.trigger(processingTime=every).foreachBatch(run).start()

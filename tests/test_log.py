@@ -1,7 +1,9 @@
 """Messages, condensed sessions, the store, policies and streams on small made cases."""
 
+import hmac
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,7 +222,7 @@ def test_admission_against_a_plain_guard(spark):
 
 
 def test_signatures(spark):
-    good = "v1=" + Z.signature("e", "100", "body", "key")
+    good = "v1=" + hmac.new(b"key", b"1:e.3:100.body", "sha256").hexdigest()
     rows = [("a", "100", good, "body"), ("e", "100", good, "body"), ("e", "100", good, "other"), ("e", "500", good, "body"), ("e", "x", good, "body"), ("e", "100", "v2=" + good[3:], "body"), ("e", "-250", good, "body"), ("e", "100", good.upper().replace("V1", "v1"), "body")]
     docs = spark.createDataFrame([(e, s, g, b) for e, s, g, b in rows], "event_id string, stamp string, signature string, body string").coalesce(1)
     assert [r.reason for r in Z.verified(docs, "key", 110).collect()] == ["bad_signature", None, "bad_signature", "stale_timestamp", "malformed_signature", "malformed_signature", "stale_timestamp", None]
@@ -277,3 +279,59 @@ def test_claims_and_contents_on_disk(spark, tmp_path):
     got = S.read_claims(spark, path)
     assert got.count() == 6 and got.select("ref_id").distinct().count() == 6 and S.read_contents(spark, f"{tmp_path}/blobs").count() == 2
     assert A.sweep(S.read_contents(spark, f"{tmp_path}/blobs"), got, 2**62).count() == 2
+
+
+def test_signatures_with_long_and_empty_secrets(spark):
+    docs = spark.createDataFrame([("é", "0", "v1=" + hmac.new(b"k" * 70, "1:é.1:0.b".encode(), "sha256").hexdigest(), "b"), ("é", "NaN", None, None), ("é", "0", None, None)], "event_id string, stamp string, signature string, body string").coalesce(1)
+    assert [r.reason for r in Z.verified(docs, "k" * 70, 0).collect()] == [None, "malformed_signature", "malformed_signature"]
+    assert {r.reason for r in Z.verified(docs, "", 0).collect()} == {"bad_signature"}
+
+
+def test_calls_without_results_stay_open(spark):
+    call = lambda i: ("tool-call", i, "{}")
+    found = blocks(
+        spark, ("system", "system", None, None, ("text", None, "s")), ("assistant", "a", None, None, call("c1"), call("c2"), call("c1")), ("tool", "tool", "c2", None, ("text", None, "x")), ("user", "tool", "c1", False, ("tool-result", "c1", "y")),
+        ("assistant", "a", None, None, call("c1")), ("user", "compact-checkpoint", None, None, ("text", None, "12345")), ("user", "tool", "c1", False, ("tool-result", "other", "y")),
+    )
+    got = M.priced(found).orderBy("pos").collect()
+    assert [r.open_calls for r in got] == [0, 0, 2, 1, 0, 1, 1] and [r.balanced for r in got] == [True, True, False, False, True, False, False]
+    assert all(r.has_system for r in got) and [r.pos for r in got if r.is_checkpoint] == [5] and got[5].tokens == 2
+
+
+def test_exempt_addresses(spark):
+    texts = ["a@example.com", "a@users.noreply.github.com x", "a@example.community", "a@example.com@b.org", "%@b.org", "é%@b.org", "a@b.c", "x.a%@b.org!", "a@b.org_"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in R.publication_report(docs).collect()) == [2, 3, 7]
+
+
+def test_paths_of_local_data(spark):
+    paths = ["private/a.py", "a/private/b.py", "tests/fixtures/x.py", "a/.env/b", "a/.envrc", "a.json", "ok.json", ".json", "b.tgz", "a.txt", "a.py"]
+    got = [r.path for r in R.unpublishable(spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1), ["private"], ["ok.json"]).collect()]
+    assert got == ["private/a.py", "tests/fixtures/x.py", "a/.env/b", "a/.envrc", "a.json", "b.tgz", "a.txt"]
+
+
+def test_info_files_and_stale_temporaries(spark, tmp_path):
+    folder = tmp_path / "sha256" / "01"
+    folder.mkdir(parents=True)
+    for v in (1, 2):
+        name = S.write_info(spark, str(folder), H, {"v": v})
+    assert json.loads((folder / f"{H}.info.json").read_text()) == {"v": 2} and name.endswith(f"{H}.info.json") and not list(folder.glob(".*.tmp"))
+    (folder / f".{H}.x.tmp").write_text("12345")
+    now = int(time.time() * 1000)
+    assert S.sweep_temps(spark, str(tmp_path), now) == (0, 0) and S.sweep_temps(spark, str(tmp_path / "none"), now) == (0, 0)
+    assert S.sweep_temps(spark, str(tmp_path), now + 2 * S.TEMP_AGE) == (1, 5) and S.sweep_temps(spark, str(tmp_path), now + 2 * S.TEMP_AGE) == (0, 0)
+
+
+def test_a_timer_sweeps(spark, tmp_path):
+    folder = tmp_path / "sha256" / "01"
+    folder.mkdir(parents=True)
+    (folder / ".a.tmp").write_text("123")
+    seen = []
+    query = Z.sweep_on_timer(spark, str(tmp_path), "1 second", 0, seen)
+    try:
+        end = time.time() + 60
+        while not any(n for n, _ in seen) and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert (1, 3) in seen and not list(folder.iterdir())
