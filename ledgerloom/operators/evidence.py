@@ -69,9 +69,10 @@ def output_digest(docs: DataFrame) -> DataFrame:
 
 def first_tokens(events: DataFrame) -> DataFrame:
     """Of each key, the first event of each kind and the time from its first event to that, in seconds."""
-    start = F.min("ts").over(Window.partitionBy("user_id"))
-    rows = events.withColumn("start", start)
-    return rows.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), (F.min(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / F.lit(1e6)).alias("seconds"))
+    per = events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("e"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    start = F.min("e.ts").over(Window.partitionBy("user_id"))
+    return per.select("user_id", "event_type", F.col("e.event_id").alias("first_event"), ((micros(F.col("e.ts")) - micros(start)) / F.lit(1e6)).alias("seconds"))
 
 
 SUMS = ("requests", "prompt_tokens", "output_tokens", "total_tokens", "cached_tokens", "summary_tokens", "unknown_usage_requests", "committed_compactions", "network_seconds", "summary_wall_seconds")

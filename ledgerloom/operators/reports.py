@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.windows import with_carried
+
 
 def delivered(messages: DataFrame) -> DataFrame:
     """The last answer of each session and how many it has: messages of the assistant that hold more than white space."""
@@ -21,17 +23,29 @@ def admission(surface: DataFrame, least: int = 64, reply: int = 512, limit: int
 
 
 def low_savings(events: DataFrame, least: float) -> DataFrame:
-    """Events that follow at least two low ones of their key without a better one between."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = events.withColumn("low", F.col("value") < least).withColumn("run", F.sum(F.when(F.col("low"), 0).otherwise(1)).over(order))
-    before = Window.partitionBy("user_id", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("event_id", "user_id", (F.coalesce(F.sum(F.when(F.col("low"), 1).otherwise(0)).over(before), F.lit(0)) >= 2).alias("suppressed"))
+    """Low events that follow at least two others of their key without a better one between.
+
+    The two events before are looked up within a key's hour; only the first and last two of each hour of a key meet in one task.
+    """
+    low = F.coalesce(F.col("value") < least, F.lit(False))
+    hours = events.select("event_id", "user_id", "ts", low.alias("low"), F.date_trunc("hour", "ts").alias("hour"))
+    hour, key = Window.partitionBy("user_id", "hour"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    third = lambda w: F.col("low") & F.lag("low", 1, False).over(w) & F.lag("low", 2, False).over(w)
+    up = hour.orderBy("ts", "event_id")
+    rows = hours.withColumn("at", F.row_number().over(up)).withColumn("left", F.count("*").over(hour) - F.col("at")).withColumn("suppressed", third(up))
+    edges = rows.filter("at <= 2 or left < 2").withColumn("suppressed", third(key)).filter("at <= 2")
+    return rows.filter("at > 2").unionByName(edges).select("event_id", "user_id", "suppressed")
+
+
+#: Rows of a key that one task looks at together, by their ids.
+SPAN = 1 << 16
 
 
 def on_time(events: DataFrame, seconds: int) -> DataFrame:
     """Events at most so many seconds behind the latest one of their key that arrived before them."""
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("now", F.max("ts").over(order)).filter(F.col("ts") >= F.col("now") - F.expr(f"INTERVAL '{seconds}' SECOND")).select("event_id", "user_id")
+    rows = with_carried(events.withColumn("part", F.floor(F.col("event_id") / SPAN)), "user_id", "part", F.max("ts"), lambda s, w: F.max(s).over(w))
+    order = Window.partitionBy("user_id", "part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("now", F.greatest(F.max("ts").over(order), "carried")).filter(F.col("ts") >= F.col("now") - F.expr(f"INTERVAL '{seconds}' SECOND")).select("event_id", "user_id")
 
 
 def inventory(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -18,6 +20,16 @@ def _downward() -> WindowSpec:
     return _session().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def with_carried(rows: DataFrame, key: str, block: str, state: Column, over: Callable[[Column, WindowSpec], Column]) -> DataFrame:
+    """rows with `carried`: what the blocks of their key before their own come to, by over(a block's state, the window of earlier blocks).
+
+    So a running state of a key with very many rows is made block by block: one row for each block of a key meets in a task, its rows don't.
+    """
+    earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(F.col(key).alias("k"), F.col(block).alias("b")).agg(state.alias("s"))
+    return rows.join(per.select("k", "b", over(F.col("s"), earlier).alias("carried")), rows[key].eqNullSafe(F.col("k")) & rows[block].eqNullSafe(F.col("b"))).drop("k", "b")
+
+
 def running_pressure(surface: DataFrame) -> DataFrame:
     return surface.select("session", "pos", "tokens", F.sum("tokens").over(_upward()).alias("pressure"))
 

@@ -7,19 +7,27 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.policy import DECISION, STATE, Limits, State, decisions, stored
 from ledgerloom.operators.store import TEMP_AGE, sweep_temps
+from ledgerloom.operators.windows import with_carried
 
 
 def hysteresis(events: DataFrame, start: float, release: float) -> DataFrame:
-    """Whether each event finds its key's pressure on: it turns on at `start`, and off below `release`. The last event outside the band decides. For batches; `pressure_stream` is the machine over streams."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Whether each event finds its key's pressure on: it turns on at `start`, and off below `release`. The last event outside the band decides. For batches; `pressure_stream` is the machine over streams.
+
+    A task holds one key's hour; of its other hours, the last mark.
+    """
     mark = F.when(F.col("value") >= start, True).when(F.col("value") < release, False)
-    return events.select("event_id", "user_id", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)).alias("active"))
+    rows = events.select("event_id", "user_id", "ts", mark.alias("mark"), F.date_trunc("hour", "ts").alias("hour"))
+    last = F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct("ts", "event_id")))
+    rows = with_carried(rows, "user_id", "hour", last, lambda s, w: F.last(s, ignorenulls=True).over(w))
+    order = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("event_id", "user_id", F.coalesce(F.last("mark", ignorenulls=True).over(order), "carried", F.lit(False)).alias("active"))
 
 
 def pressure_stream(measured: DataFrame, limits: Limits) -> DataFrame:
@@ -46,17 +54,23 @@ def replay_guard(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def admitted(deliveries: DataFrame, window: int) -> DataFrame:
     """Whether each delivery (key, n: order of arrival, id, stamp, now) is admitted: its id must not have been admitted at a stamp that is at most `window` seconds before now.
 
-    A delivery that is refused doesn't renew the id. An id's deliveries are folded in one row.
+    A delivery that is refused doesn't renew the id, so an id's deliveries are decided one after another: a task reads them in order, batch by batch, and holds one stamp.
     """
-    per = deliveries.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("n", "stamp", "now"))).alias("d"))
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<n:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc, x):
-        ok = acc["at"].isNull() | (x["now"].cast("double") - acc["at"] > window)
-        return F.struct(F.when(ok, x["stamp"].cast("double")).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["n"].cast("long").alias("n"), ok.alias("ok")))).alias("out"))
 
-    done = per.select("key", "id", F.explode(F.aggregate("d", start, step, lambda a: a["out"])).alias("o"))
-    return done.select("key", "id", F.col("o.n").alias("n"), F.col("o.ok").alias("admitted"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None
+        for batch in batches:
+            ok = []
+            for key, i, stamp, now in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "stamp", "now")), strict=True):
+                if held != (key, i):
+                    held, at = (key, i), None
+                ok.append(at is None or (now is not None and now - at > window))
+                at = stamp if ok[-1] else at
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "n")), pa.array(ok, pa.bool_())], ["key", "id", "n", "admitted"])
+
+    rows = deliveries.select("key", "id", F.col("n").cast("long").alias("n"), F.col("stamp").cast("double").alias("stamp"), F.col("now").cast("double").alias("now"))
+    kinds = dict(rows.dtypes)
+    return rows.repartition("key", "id").sortWithinPartitions("key", "id", "n").mapInArrow(run, f"key {kinds['key']}, id {kinds['id']}, n long, admitted boolean")
 
 
 def mac(text: Column, secret: str) -> Column:

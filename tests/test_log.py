@@ -335,3 +335,31 @@ def test_a_timer_sweeps(spark, tmp_path):
     finally:
         query.stop()
     assert (1, 3) in seen and not list(folder.iterdir())
+
+
+def test_running_states_of_one_key_over_hours(spark):
+    from ledgerloom.operators import evidence, reports
+
+    r = random.Random(3)
+    rows, at = [], 0
+    for i in range(400):
+        at += r.choice([1, 30, 4000, 9000])
+        rows.append((i * 40_000 % 999_983, r.choice([1, None]), at, r.choice([5.0, 10.0, 15.0, 70.0, None])))
+    events = spark.createDataFrame(rows, "event_id long, user_id int, at long, value double").withColumn("ts", F.timestamp_seconds("at"))
+    low, active, late = {}, {}, {}
+    for user in (1, None):
+        own = sorted((x for x in rows if x[1] == user), key=lambda x: (x[2], x[0]))
+        on = False
+        for k, (i, _, _, v) in enumerate(own):
+            low[i] = k >= 2 and all(x[3] is not None and x[3] < 20 for x in own[k - 2 : k + 1])
+            on = on if v is None or 10 <= v < 60 else v >= 60
+            active[i] = on
+        now = 0
+        for i, _, t, _ in sorted(own):
+            now = max(now, t)
+            late[i] = t < now - 5000
+    assert {x.event_id: x.suppressed for x in reports.low_savings(events, 20.0).collect()} == low and 5 < sum(low.values()) < 300
+    assert {x.event_id: x.active for x in Z.hysteresis(events, 60.0, 10.0).collect()} == active and 5 < sum(active.values()) < 395
+    assert {x.event_id for x in reports.on_time(events, 5000).collect()} == {i for i, v in late.items() if not v} and any(late.values())
+    kinds = events.withColumn("event_type", F.lit("k"))
+    assert {x.user_id: x.seconds for x in evidence.first_tokens(kinds).collect()} == {1: 0.0, None: 0.0}
