@@ -341,7 +341,8 @@ def op1_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = [F.size(F.filter("pii.base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
-        "doc_id", *count, F.sha2(_listed(F.col("pii.base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("pii.base", "pii.added"))).alias("spans"), F.size("pii.added").cast("long").alias("n_added")
+        "doc_id", *count, F.sha2(_listed(F.col("pii.base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("pii.base", "pii.added"))).alias("spans"), F.size("pii.added").cast("long").alias("n_added"),
+        (F.size("pii.base") + F.size("pii.added")).cast("long").alias("n_spans"),
     )
 
 
